@@ -8,7 +8,7 @@ partitioned. Results equal those of the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,12 +28,19 @@ def time_block(ts: Column, unit: str = "DAY") -> Column:
     return F.date_trunc(unit, ts)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        eq = left[k].eqNullSafe(right[k])
-        cond = eq if i == 0 else cond & eq
-    return cond
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe many-to-one join that also works when both sides come from the same frame.
+    The right side has one row per key; left rows of a hot key are split by adaptive skew join."""
+    renamed = {k: f"__key{i}" for i, k in enumerate(keys)}
+    r = right.select(
+        *[F.col(k).alias(a) for k, a in renamed.items()],
+        *[F.col(c) for c in right.columns if c not in renamed],
+    )
+    on = F.lit(True)
+    for i, (k, a) in enumerate(renamed.items()):
+        eq = F.col(k).eqNullSafe(F.col(a))
+        on = eq if i == 0 else on & eq
+    return left.join(r, on, how).drop(*renamed.values())
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -53,13 +60,15 @@ def scan(
     running_sum: dict[str, Column] | None = None,
     max_before: dict[str, Column] | None = None,
     last_seen: dict[str, Column] | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Adds, per key in ``order``: ``previous`` row's value, inclusive ``running_sum``, maximum of
     all rows before (``max_before``), newest non-null value up to this row (``last_seen``).
-    ``block`` must not decrease along ``order``."""
+    ``block`` must not decrease along ``order``. With ``keep_block`` the block column stays, and a
+    following scan that is given it needs no new shuffle of the large side."""
     keys, order = list(keys), list(order)
     parts = [*keys, BLOCK]
-    cols = df.columns
+    cols = [c for c in df.columns if c != BLOCK]
     specs = {
         "p": previous or {},
         "s": running_sum or {},
@@ -111,6 +120,8 @@ def scan(
     left = left.select(*cols, BLOCK, *[e.alias(n) for n, e in inner.items()]).alias("x")
 
     out = [F.col(f"x.{c}") for c in cols]
+    if keep_block:
+        out.append(F.col(f"x.{BLOCK}"))
     for n in specs["p"]:
         out.append(F.coalesce(F.col(f"x.__p_{n}"), F.col(f"c.__c_p_{n}"))["v"].alias(n))
     for n in specs["s"]:
@@ -134,17 +145,20 @@ def numbered(
     return scan(df, keys, order, block, running_sum={name: F.lit(1).cast("bigint")})
 
 
-def islands(
+def gap_islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
-    is_break: Column,
+    value: Column,
+    same: Callable[[Column], Column],
     name: str = "island",
 ) -> DataFrame:
-    """Running number of breaks per key; ``is_break`` may use columns already in ``df``."""
-    one = F.when(F.coalesce(is_break, F.lit(True)), 1).otherwise(0).cast("bigint")
-    return scan(df, keys, order, block, running_sum={name: one})
+    """Numbers islands per key: a row stays in the island of the row before it while
+    ``same(previous value)`` holds."""
+    prev = scan(df, keys, order, block, previous={"__before": value}, keep_block=True)
+    cut = F.when(F.coalesce(same(F.col("__before")), F.lit(False)), 0).otherwise(1).cast("bigint")
+    return scan(prev, keys, order, F.col(BLOCK), running_sum={name: cut}).drop("__before")
 
 
 def weighted_median(
@@ -158,8 +172,7 @@ def weighted_median(
         running_sum={"__cum": F.col("__w")},
     )
     total = grouped.groupBy(*keys).agg(F.sum("__w").alias("__total"))
-    on = same_keys(run, total, keys)
-    both = run.join(total, on).select(*[run[k] for k in keys], run[value], "__cum", "__total")
+    both = attach(run, total, keys)
     return (
         both.filter(F.col("__cum") >= F.col("__total") / 2)
         .groupBy(*keys)
@@ -181,8 +194,7 @@ def median(
         running_sum={"__cum": F.col("__w")},
     )
     total = grouped.groupBy(*keys).agg(F.sum("__w").alias("n"))
-    on = same_keys(run, total, keys)
-    both = run.join(total, on).select(*[run[k] for k in keys], run[value], "__cum", "n")
+    both = attach(run, total, keys)
     lower = F.when(F.col("__cum") >= F.floor((F.col("n") + 1) / 2), F.col(value))
     upper = F.when(F.col("__cum") >= F.floor(F.col("n") / 2) + 1, F.col(value))
     return both.groupBy(*keys).agg(

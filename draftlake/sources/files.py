@@ -89,14 +89,17 @@ def _text_kind(content: Column, filename: Column) -> Column:
 
 def container_kind(names: Column) -> Column:
     """Kind of a ZIP container from the names of its entries."""
+
+    def holds(folder: str) -> Column:
+        return F.exists(names, lambda n: n.startswith(f"{folder}/"))
+
     kind = F.lit("zip")
     office = F.array_contains(names, "[Content_Types].xml")
     for folder, plain, macro in (
         ("ppt", "pptx", "pptm"), ("xl", "xlsx", "xlsm"), ("word", "docx", "docm"),
     ):
-        holds = F.exists(names, lambda n, f=folder: n.startswith(f"{f}/"))
         with_macro = F.array_contains(names, f"{folder}/vbaProject.bin")
-        kind = F.when(office & holds, F.when(with_macro, macro).otherwise(plain)).otherwise(kind)
+        kind = F.when(office & holds(folder), F.when(with_macro, macro).otherwise(plain)).otherwise(kind)
     return kind
 
 

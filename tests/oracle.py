@@ -56,8 +56,7 @@ def compare(spark, name, folder: str = SF):
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}", seconds
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lack = [r for r in want if r not in set(got)][:3]
+        extra, lack = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
         return False, f"rows {len(got)} vs {len(want)}\n   only spark {extra}\n   only duck  {lack}", seconds
     return bool(got), f"rows={len(got)}", seconds
 
