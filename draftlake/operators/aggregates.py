@@ -143,13 +143,14 @@ def consensus_ratio(
     keys = list(keys)
     ln = F.log(F.col(ratio))
     width = 2.5 * tol
-    lo, hi = math.log(1 - tol) - 1e-12, math.log(1 + tol) + 1e-12
     points = readings.filter(F.col(ratio) > 0).groupBy(*keys, ratio).agg(N.alias("__n")).withColumn("__ln", ln)
     home = F.floor(F.col("__ln") / width).cast("bigint")
     spread_out = points.withColumn("__home", home).withColumn(
         "__blk", F.explode(F.sequence(F.col("__home") - 1, F.col("__home") + 1))
     )
-    frame = W.partitionBy(*keys, "__blk").orderBy("__ln").rangeBetween(lo, hi)
+    # range frames take whole numbers: logs in units of 1e-12
+    lo, hi = math.floor(math.log(1 - tol) * 1e12), math.ceil(math.log(1 + tol) * 1e12)
+    frame = W.partitionBy(*keys, "__blk").orderBy(F.round(F.col("__ln") * 1e12).cast("bigint")).rangeBetween(lo, hi)
     n, x = F.col("__n"), F.col(ratio)
     scored = spread_out.select(
         *keys, ratio, "__home", "__blk",
