@@ -118,7 +118,7 @@ def edit_lineage(t: Tables) -> DataFrame:
     """
     WITH o AS (SELECT user_id AS entity, event_id AS seq, '/' || CAST(json_extract(props, '$.k') AS VARCHAR) AS path, event_type AS t, CAST(value AS VARCHAR) AS value
       FROM events WHERE event_type IN ('click', 'view', 'error')),
-    bad AS (SELECT DISTINCT user_id AS entity FROM events WHERE event_type = 'signup' AND value > 45),
+    bad AS (SELECT DISTINCT user_id AS entity FROM events WHERE event_type = 'signup' AND value > 200),
     l AS (SELECT * FROM o WHERE entity NOT IN (SELECT entity FROM bad) QUALIFY row_number() OVER (PARTITION BY entity, path ORDER BY seq DESC) = 1)
     SELECT entity, path, event_id AS seq, event_type FROM l JOIN events ON event_id = l.seq WHERE t <> 'error'
     """,
@@ -128,7 +128,7 @@ def change_replay(t: Tables) -> DataFrame:
     e = t.events
     kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "test").otherwise("add")
     path = F.concat(F.lit("/"), F.when(F.col("event_type") == "signup", F.lit("none")).otherwise(F.get_json_object("props", "$.k")))
-    ops = e.filter((F.col("event_type") != "purchase") & ((F.col("event_type") != "signup") | (F.col("value") > 45))).select(
+    ops = e.filter((F.col("event_type") != "purchase") & ((F.col("event_type") != "signup") | (F.col("value") > 200))).select(
         F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), kind.alias("op"), path.alias("path"),
         F.lit(None).cast("string").alias("from_path"), F.concat_ws(":", "event_id", "event_type").alias("value"),
     )
@@ -173,7 +173,7 @@ SPANS_SQL = """s AS (SELECT user_id, event_id AS span_id, CAST(epoch_us(ts) // 1
     f"""WITH {SPANS_SQL}, m AS (SELECT *, s0 - max(s1) OVER (PARTITION BY user_id ORDER BY s0, s1, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM s),
     r AS (SELECT *, sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s0, s1, span_id) AS run FROM m)
     SELECT user_id, CAST(run AS BIGINT) AS run, min(s0) AS s0, max(s1) AS s1, sum(s1 - s0) AS support, count(*) AS pieces,
-      count_if(gap <= 3600 AND gap > 60) AS gaps, coalesce(sum(CASE WHEN gap <= 3600 AND gap > 60 THEN gap END), 0) AS gap_length,
+      count_if(coalesce(gap <= 3600 AND gap > 60, false)) AS gaps, coalesce(sum(CASE WHEN gap <= 3600 AND gap > 60 THEN gap END), 0) AS gap_length,
       round(coalesce(sum(thickness * (s1 - s0)) / nullif(sum(s1 - s0), 0), avg(thickness)), 6) AS thickness
     FROM r GROUP BY ALL""",
 )
