@@ -153,12 +153,47 @@ def gap_islands(
     value: Column,
     same: Callable[[Column], Column],
     name: str = "island",
+    rank: str | None = None,
 ) -> DataFrame:
-    """Numbers islands per key: a row stays in the island of the row before it while
-    ``same(previous value)`` holds."""
-    prev = scan(df, keys, order, block, previous={"__before": value}, keep_block=True)
-    cut = F.when(F.coalesce(same(F.col("__before")), F.lit(False)), 0).otherwise(1).cast("bigint")
-    return scan(prev, keys, order, F.col(BLOCK), running_sum={name: cut}).drop("__before")
+    """Numbers islands per key from 1: a row stays in the island of the row before it while
+    ``same(previous value)`` holds; ``rank`` adds the row number per key.
+
+    One pass: inside a block all rows but the first know their predecessor; the first row is judged
+    on the block summaries, where the last value of the block before stands next to it.
+    """
+    keys, order, cols = list(keys), list(order), [c for c in df.columns if c != BLOCK]
+    parts = [*keys, BLOCK]
+    spot = F.struct(*[F.col(o) for o in order])
+    local = W.partitionBy(*parts).orderBy(*order)
+    boxed = F.lag(F.struct(F.col("__v").alias("v"))).over(local)
+    marked = df.withColumn(BLOCK, block).withColumn("__v", value).withColumn("__lag", boxed)
+    cut = F.when(F.coalesce(same(F.col("__lag.v")), F.lit(False)), 0).otherwise(1)
+    judged = marked.withColumn("__cut", F.when(F.col("__lag").isNull(), 0).otherwise(cut).cast("bigint"))
+    rows = judged.select(
+        *cols, BLOCK, F.sum("__cut").over(local.rowsBetween(W.unboundedPreceding, 0)).alias("__in"),
+        F.row_number().over(local).alias("__rn"),
+    )
+    blocks = judged.groupBy(*parts).agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols if c not in keys]), spot).alias("__first"),
+        F.max_by(F.struct(F.col("__v").alias("v")), spot).alias("__last"),
+        F.sum("__cut").alias("__cuts"), F.count(F.lit(1)).alias("__rows"),
+    )
+    per_key = W.partitionBy(*keys).orderBy(BLOCK)
+    before = per_key.rowsBetween(W.unboundedPreceding, -1)
+    seen = blocks.select(
+        *parts, "__first.*", "__cuts", "__rows", F.lag("__last").over(per_key).alias("__lag")
+    )
+    opens = F.when(F.coalesce(same(F.col("__lag.v")), F.lit(False)), 0).otherwise(1).cast("bigint")
+    carry = seen.withColumn("__open", opens).select(
+        *parts, "__open",
+        F.coalesce(F.sum(F.col("__cuts") + F.col("__open")).over(before), F.lit(0)).alias("__base"),
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__above"),
+    )
+    number = F.col("__base") + F.col("__open") + F.col("__in")
+    out = attach(rows, carry, parts).withColumn(name, number)
+    if rank is not None:
+        out = out.withColumn(rank, F.col("__above") + F.col("__rn"))
+    return out.drop(BLOCK, "__in", "__rn", "__open", "__base", "__above")
 
 
 def weighted_median(

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions import text as tx
-from draftlake.functions.ordered import BLOCK, attach, gap_islands, scan
+from draftlake.functions.ordered import attach, gap_islands
+from draftlake.session import cut_lineage
 
 # Folded label texts of a title block per field.
 TITLE_LABELS = {
@@ -191,6 +192,7 @@ def label_values(
     lns = lines.withColumns({"__id": order, "__whole": names[tx.fold(F.col("text"))]})
     head = names[tx.fold(F.col("first_word.text"))]
     lns = lns.withColumn("__head", F.when(F.col("__whole").isNull() & (F.col("n_words") > 1), head))
+    lns = cut_lineage(lns)  # read by labels and by both kinds of values
     lab = lns.filter(F.coalesce("__whole", "__head").isNotNull())
     by_head = F.col("__head").isNotNull()
     box = {
@@ -286,31 +288,19 @@ def table_from_words(
         *keys, "strip", "band", "words", "cells", box["y0"].alias("y0"), box["y1"].alias("y1"),
         F.size(F.filter("cells", lambda c: header_name(_text(c), names).isNotNull())).alias("known"),
     )
+    # the words are laid out once; header search and body both read the result
+    rows = cut_lineage(rows)
     spot = F.struct("strip", "band")
-    head = F.when(
-        F.col("known") >= 2,
-        F.struct(
-            F.transform("cells", lambda c: c[0]["x0"]).alias("xs"),
-            _height(F.col("words")).alias("h"), spot.alias("spot"),
-        ),
-    )
-    # the header travels to its page's later bands as the first non-null value in page order
-    block = F.floor(F.col("strip") / 1024)
-    marked = scan(
-        rows.withColumn("__head", head), keys, ["strip", "band"], block,
-        previous={"__end": F.col("y1")}, running_sum={"__heads": (F.col("known") >= 2).cast("bigint")},
-        keep_block=True,
+    head = F.struct(
+        F.transform("cells", lambda c: c[0]["x0"]).alias("xs"), _height(F.col("words")).alias("h"), spot.alias("spot")
     )
-    first = F.when((F.col("__heads") == 1) & F.col("__head").isNotNull(), F.col("__head"))
-    under = scan(
-        marked, keys, ["strip", "band"], F.col(BLOCK), last_seen={"hdr": first}, keep_block=True
-    ).filter(F.col("hdr").isNotNull())
+    first = rows.filter("known >= 2").groupBy(*keys).agg(F.min_by(head, spot).alias("hdr"))
+    under = attach(rows, first, keys).filter(spot >= F.col("hdr.spot"))
     # the table ends at the first large gap below the header
-    far = (spot != F.col("hdr.spot")) & (F.col("y0") - F.col("__end") > 4 * F.col("hdr.h"))
-    inside = scan(
-        under, keys, ["strip", "band"], F.col(BLOCK),
-        running_sum={"__gaps": far.cast("bigint"), "__rows": F.lit(1).cast("bigint")},
-    ).filter("__gaps = 0").withColumn("row_index", F.col("__rows") - 1)
+    inside = gap_islands(
+        under, keys, ["strip", "band"], F.floor(F.col("strip") / 1024), F.col("y1"),
+        lambda end: F.col("y0") - end <= 4 * F.col("hdr.h"), name="__part", rank="__rank",
+    ).filter("__part = 1").withColumn("row_index", F.col("__rank") - 1)
 
     # as-of by one merge of header and word positions: the running header is the word's column
     spots = F.concat(
