@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.catalogue.registry import Tables, query
 from draftlake.operators import aggregates as op
 
-N = F.count(F.lit(1))
 
 
 def graded(t: Tables) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.catalogue.registry import Tables, query
 from draftlake.functions.numeric import f1
 from draftlake.operators import joins as op
 from draftlake.operators.mining import explode_words
 from draftlake.functions.text import fold
 
-N = F.count(F.lit(1))
 
 
 def listed_words(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +213,7 @@ def tolerance_share(t: Tables) -> DataFrame:
     e = t.events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value", "event_type")
     p, c = e.filter("event_type = 'purchase'"), e.filter("event_type = 'click'")
     tol = {"us": 3600000000, "value": 1.0}
-    count = lambda d, n: d.agg(N.alias(n)).withColumn("one", F.lit(1))
+    count = lambda d, n: d.agg(n_rows().alias(n)).withColumn("one", F.lit(1))
     out = (
         count(p, "predicted")
         .join(count(op.within_box(p, c, [], tol, "event_id"), "near_truth"), "one")
@@ -272,7 +272,7 @@ def enrich_conflicts(t: Tables) -> DataFrame:
     )
     enriched, _ = op.enrich_with_schedule(openings, rows)
     return enriched.groupBy(F.col("width_status").alias("status")).agg(
-        N.alias("n"), F.count_if("matched").alias("matched"), F.round(F.min("width_m"), 6).alias("min_width")
+        n_rows().alias("n"), F.count_if("matched").alias("matched"), F.round(F.min("width_m"), 6).alias("min_width")
     )
 
 
@@ -345,7 +345,7 @@ def override_rules(t: Tables) -> DataFrame:
         F.col("p_partkey").alias("material"), F.when(F.col("p_type") == "ECONOMY", "floor").otherwise("wall").alias("category")
     )
     elements = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("element"))
-    return op.validate_overrides(overrides, surfaces, materials, elements).groupBy("code", "l_linenumber").agg(N.alias("n"))
+    return op.validate_overrides(overrides, surfaces, materials, elements).groupBy("code", "l_linenumber").agg(n_rows().alias("n"))
 
 
 @query(

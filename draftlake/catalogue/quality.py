@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.catalogue.registry import Tables, query
 from draftlake.operators import licences as lic
 from draftlake.operators import quality as op
 
-N = F.count(F.lit(1))
 
 
 def measured(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +43,7 @@ CHECKS_SQL = """b AS (SELECT l_partkey AS v, 0.9::DOUBLE AS be, 0.1::DOUBLE AS b
 def relative_checks(t: Tables) -> DataFrame:
     """QA-1: eight checks of every candidate against its base."""
     base, cand = measured(t)
-    return op.relative_checks(base, cand, ["view_id"], "candidate_id").groupBy("name").agg(N.alias("n"), F.count_if("passed").alias("passed"))
+    return op.relative_checks(base, cand, ["view_id"], "candidate_id").groupBy("name").agg(n_rows().alias("n"), F.count_if("passed").alias("passed"))
 
 
 @query(
@@ -56,7 +56,7 @@ def candidate_verdicts(t: Tables) -> DataFrame:
     base, cand = measured(t)
     checks = op.relative_checks(base, cand, ["view_id"], "candidate_id").withColumn("mock", F.col("name") == "noise")
     v = op.candidate_verdict(checks, ["view_id", "candidate_id"])
-    return v.groupBy("view_id").agg(N.alias("candidates"), F.count_if("geometry_passed").alias("geometry"), F.count_if("passed").alias("passed"))
+    return v.groupBy("view_id").agg(n_rows().alias("candidates"), F.count_if("geometry_passed").alias("geometry"), F.count_if("passed").alias("passed"))
 
 
 @query(
@@ -134,7 +134,7 @@ def gate_decisions(t: Tables) -> DataFrame:
 )
 def licence_lines(t: Tables) -> DataFrame:
     """LIC-1: licences stated in whole documents."""
-    return lic.licence_lines(t.documents, ["source", "doc_id"]).groupBy("spdx", "allowed").agg(N.alias("documents"), F.count_distinct("source").alias("sources"))
+    return lic.licence_lines(t.documents, ["source", "doc_id"]).groupBy("spdx", "allowed").agg(n_rows().alias("documents"), F.count_distinct("source").alias("sources"))
 
 
 @query(
@@ -156,7 +156,7 @@ def package_audit(t: Tables) -> DataFrame:
         F.when(k == 7, F.array(F.lit("License :: OSI Approved :: MIT License"))).otherwise(F.array().cast("array<string>")).alias("classifiers"),
     )
     verified = t.part.filter("p_size = 15").select(F.concat(F.lit("pkg-"), "p_size").alias("name"), F.lit("Apache-2.0").alias("license"))
-    return lic.spdx_audit(packages, verified).groupBy("env", "spdx", "problem").agg(N.alias("n"))
+    return lic.spdx_audit(packages, verified).groupBy("env", "spdx", "problem").agg(n_rows().alias("n"))
 
 
 @query(
@@ -181,4 +181,4 @@ def blocked_models(t: Tables) -> DataFrame:
         F.when(s % 11 == 0, F.create_map(F.lit("mau"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")).alias("caps"), (s == 50).alias("mock"),
     )
     judged = lic.blocked_reasons(models, ["DE"], accepted_terms=["terms-a"])
-    return judged.groupBy("license_id", F.array_join("reasons", ",").alias("reasons")).agg(N.alias("n"))
+    return judged.groupBy("license_id", F.array_join("reasons", ",").alias("reasons")).agg(n_rows().alias("n"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.catalogue.registry import Tables, query
 from draftlake.functions.ordered import gap_islands, scan, time_block
 from draftlake.operators import layout as lay
 from draftlake.operators import mining as op
 
-N = F.count(F.lit(1))
 
 # One word per token of every line: 10 px per character, lines 20 px apart, words 12 px high.
 PLACED_SQL = """
@@ -73,7 +73,7 @@ def raster_tiles(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.col("n_chars").alias("width"), e.cast("bigint").alias("height"))
     tiles = op.raster_tiles(d, "width", "height", tile=512)
     return tiles.groupBy("doc_id").agg(
-        N.alias("tiles"), F.max("x").alias("last_x"), F.max("y").alias("last_y")
+        n_rows().alias("tiles"), F.max("x").alias("last_x"), F.max("y").alias("last_y")
     )
 
 
@@ -140,7 +140,7 @@ def document_measurements(t: Tables) -> DataFrame:
     composed strings of ``measurements`` (an apostrophe after a digit is no length in prose)."""
     docs = t.documents.filter(~F.contains("text", F.lit("'")) & ~F.contains("text", F.lit("′")))
     mined = op.mine_measurements(docs, ["doc_id"])
-    return mined.groupBy("doc_id", "unit").agg(N.alias("n"), F.count_distinct("raw").alias("distinct_raw"))
+    return mined.groupBy("doc_id", "unit").agg(n_rows().alias("n"), F.count_distinct("raw").alias("distinct_raw"))
 
 
 @query(
@@ -191,7 +191,7 @@ def document_tags(t: Tables) -> DataFrame:
             )
         )
     )
-    return op.mine_tags(words.unionAll(codes)).groupBy("tag", "kind").agg(N.alias("n"))
+    return op.mine_tags(words.unionAll(codes)).groupBy("tag", "kind").agg(n_rows().alias("n"))
 
 
 @query(
@@ -247,7 +247,7 @@ def lines_by_gap(t: Tables) -> DataFrame:
         lambda before: F.col("ts") - before <= F.expr("INTERVAL 6 HOUR"),
     )
     return marked.groupBy("user_id", "island").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), N.alias("n")
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), n_rows().alias("n")
     )
 
 
@@ -306,7 +306,7 @@ def table_cells(t: Tables) -> DataFrame:
     """TXT-9: widely spaced words as a table under the first line with two header words."""
     cells = lay.table_from_words(placed_words(t.documents, gap=40), ["doc_id"], HEADERS)
     return cells.groupBy("doc_id", "col_index").agg(
-        N.alias("cells"), F.sum("row_index").alias("row_sum"), F.min(F.md5("value")).alias("first_md5")
+        n_rows().alias("cells"), F.sum("row_index").alias("row_sum"), F.min(F.md5("value")).alias("first_md5")
     )
 
 
@@ -425,7 +425,7 @@ def rule_classes(t: Tables) -> DataFrame:
     src = op.source_kind(F.col("kind"), F.lit(0), F.lit(0.0), F.lit(False), F.lit(True))
     return op.classify_by_rule(pages).groupBy(
         "kind", F.col("rule.label").alias("label"), F.col("rule.confidence").alias("confidence"), src.alias("source")
-    ).agg(N.alias("n"))
+    ).agg(n_rows().alias("n"))
 
 
 @query(

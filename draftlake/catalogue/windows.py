@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.catalogue.registry import Tables, query
 from draftlake.operators import windows as op
 
-N = F.count(F.lit(1))
 
 
 def order_versions(t: Tables) -> DataFrame:
@@ -75,7 +75,7 @@ def approved_versions(t: Tables) -> DataFrame:
         F.col("l_orderkey").alias("version_id"), F.when(F.col("l_quantity") >= 48, "error").otherwise("warning").alias("severity")
     )
     out, refused = op.approve(v, approvals, issues)
-    total = lambda d: d.agg(N.alias("n"), F.sum("id").alias("ids"))
+    total = lambda d: d.agg(n_rows().alias("n"), F.sum("id").alias("ids"))
     return total(out.groupBy("status")).unionByName(total(refused).withColumn("status", F.lit("refused")))
 
 

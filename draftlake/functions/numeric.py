@@ -64,3 +64,7 @@ def percent_text(hits: Column, total: Column) -> Column:
     """'3/4 (75 %)', 'n/a' for an empty total."""
     share = F.format_string("%d/%d (%.0f %%)", hits, total, hits * 100.0 / total)
     return F.when(F.coalesce(total, F.lit(0)) == 0, "n/a").otherwise(share)
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.functions.numeric import circular_error, percent_text
 from draftlake.functions.ordered import attach, median, weighted_median
 
@@ -18,7 +19,6 @@ CONFLICT_REL = 0.015
 WEAK_SIGMA = 0.02
 DOOR_RADIUS_M = 0.85
 DOOR_SIGMA = 0.12
-N = F.count(F.lit(1))
 
 
 # ---------------------------------------------------------------- classification
@@ -27,7 +27,7 @@ N = F.count(F.lit(1))
 def class_counts(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     """True positives, false positives, false negatives and F1 per class. The table is reduced to
     its confusion matrix first."""
-    matrix = df.groupBy(*keys, truth, pred).agg(N.alias("__n"))
+    matrix = df.groupBy(*keys, truth, pred).agg(n_rows().alias("__n"))
     role = lambda cls, tp, fp, fn: F.struct(
         F.col(cls).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")
     )
@@ -54,7 +54,7 @@ def macro_f1(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) ->
 def score_report(df: DataFrame, truth: str, pred: str, source: str) -> DataFrame:
     """macro_f1 for every source and, as source ``all``, overall. One pass over the data: the
     overall row is added to the matrix of the sources."""
-    small = df.groupBy(source, truth, pred).agg(N.alias("__c"))
+    small = df.groupBy(source, truth, pred).agg(n_rows().alias("__c"))
     both = small.select(F.explode(F.array(F.col(source), F.lit("all"))).alias(source), truth, pred, "__c")
     wide = both.groupBy(source, truth, pred).agg(F.sum("__c").alias("__n"))
     hit = F.col(truth) == F.col(pred)
@@ -71,7 +71,7 @@ def score_report(df: DataFrame, truth: str, pred: str, source: str) -> DataFrame
 
 def confusions(df: DataFrame, truth: str, pred: str, k: int = 5) -> DataFrame:
     """The k most frequent wrong pairs (a top-k report)."""
-    wrong = df.filter(F.col(truth) != F.col(pred)).groupBy(truth, pred).agg(N.alias("n"))
+    wrong = df.filter(F.col(truth) != F.col(pred)).groupBy(truth, pred).agg(n_rows().alias("n"))
     return wrong.orderBy(F.desc("n"), truth, pred).limit(k)
 
 
@@ -122,7 +122,7 @@ def class_iou(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def class_freq(df: DataFrame, label: str) -> DataFrame:
     """Share of every class; totals are taken over the class counts, not over the rows."""
-    per = df.groupBy(F.col(label).alias("class")).agg(N.alias("n"))
+    per = df.groupBy(F.col(label).alias("class")).agg(n_rows().alias("n"))
     return per.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))
 
 
@@ -143,7 +143,7 @@ def consensus_ratio(
     keys = list(keys)
     ln = F.log(F.col(ratio))
     width = 2.5 * tol
-    points = readings.filter(F.col(ratio) > 0).groupBy(*keys, ratio).agg(N.alias("__n")).withColumn("__ln", ln)
+    points = readings.filter(F.col(ratio) > 0).groupBy(*keys, ratio).agg(n_rows().alias("__n")).withColumn("__ln", ln)
     home = F.floor(F.col("__ln") / width).cast("bigint")
     spread_out = points.withColumn("__home", home).withColumn(
         "__blk", F.explode(F.sequence(F.col("__home") - 1, F.col("__home") + 1))
@@ -264,7 +264,7 @@ def vector_shift(means: DataFrame, key: str, reference: Column) -> DataFrame:
 def stage_timings(runs: DataFrame, keys: Sequence[str] = ("stage",)) -> DataFrame:
     """Seconds, calls, cached share and failures per stage."""
     return runs.groupBy(*keys).agg(
-        N.alias("calls"), F.sum("seconds").alias("seconds"),
+        n_rows().alias("calls"), F.sum("seconds").alias("seconds"),
         F.avg(F.col("cached").cast("double")).alias("cached_share"),
         F.count_if(F.col("status") == "failed").alias("failed"), F.avg("attempts").alias("mean_attempts"),
     )
@@ -302,7 +302,7 @@ def detection_rate(injected: DataFrame, issues: DataFrame, keys: Sequence[str] =
     per = injected.join(found, on, "left").groupBy(*keys, "defect_id", "code").agg(
         F.every(F.col("__hit").isNotNull()).alias("hit")
     )
-    return per.groupBy("code").agg(N.alias("defects"), F.count_if("hit").alias("detected"))
+    return per.groupBy("code").agg(n_rows().alias("defects"), F.count_if("hit").alias("detected"))
 
 
 def run_view(runs: DataFrame, gates: DataFrame, bundles: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ CHECKS = [
     ("material_color_shift", "technical", "absolute", "<=", 5.0),
 ]
 REQUIRED_FAMILIES = ["geometry", "technical", "brief", "artifact"]
-N = F.count(F.lit(1))
 
 
 def worst_item_delta(base: DataFrame, cand: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
@@ -92,7 +91,7 @@ def deliverable_guard(views: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Views that must not be delivered, with the reason; an empty result is a clean run. ``verdicts``
     has view_id, image_sha256, passed and failed of every checked image."""
     v = verdicts.groupBy("view_id", F.col("image_sha256").alias("delivered_sha256")).agg(
-        F.every("passed").alias("__passed"), N.alias("__n")
+        F.every("passed").alias("__passed"), n_rows().alias("__n")
     )
     j = views.join(v, ["view_id", "delivered_sha256"], "left")
     reason = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.functions.ordered import (
     BLOCK, attach, gap_islands, latest_by, magnitude_block, numbered, scan,
 )
@@ -15,7 +16,6 @@ from draftlake.session import cut_lineage
 
 # Plan sources from best to worst.
 SOURCE_ORDER = ["ifc", "dxf", "pdf_vector", "raster"]
-N = F.count(F.lit(1))
 
 
 # ---------------------------------------------------------------- versions
@@ -185,7 +185,7 @@ def coalesce_intervals(
     hole = (gap <= max_gap) & (gap > inner_gap)
     return run.groupBy(*keys, "run").agg(
         F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.sum(length).alias("support"),
-        mean("offset").alias("offset"), mean("thickness").alias("thickness"), N.alias("pieces"),
+        mean("offset").alias("offset"), mean("thickness").alias("thickness"), n_rows().alias("pieces"),
         F.count_if(hole).alias("gaps"), F.coalesce(F.sum(F.when(hole, gap)), F.lit(0.0)).alias("gap_length"),
     )
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from draftlake.functions.numeric import n_rows
 from draftlake.functions.numeric import significant
 from draftlake.functions.ordered import scan, time_block
 
 EVENT_LIMIT = 500
 TERMINAL = ["succeeded", "failed", "cancelled"]
-N = F.count(F.lit(1))
 
 
 # ---------------------------------------------------------------- STR-1
@@ -53,7 +53,7 @@ def job_state(events: DataFrame, max_attempts: int = 3) -> DataFrame:
         F.max_by(F.when(kind == "error", d["retry"]), F.when(kind == "error", F.col("id"))).alias("retry"),
         F.bool_or((kind == "log") & (d["message"] == "cancellation requested")).alias("cancel"),
         F.max_by(F.when(kind == "progress", d["progress"]), F.when(kind == "progress", F.col("id"))).alias("progress"),
-        F.max("id").alias("cursor"), N.alias("events"), gate, runs,
+        F.max("id").alias("cursor"), n_rows().alias("events"), gate, runs,
     )
     attempts = F.size(F.filter("runs", lambda i: i > F.coalesce("gate_id", F.lit(-1)))).cast("bigint")
     pending = F.coalesce(F.col("error_id") > F.col("last_id"), F.col("error_id").isNotNull() & F.col("last_id").isNull())
@@ -101,7 +101,7 @@ def silent_workers(beats: DataFrame, keys: Sequence[str], ts: str, beat_id: str,
 def stream_sessions(beats: DataFrame, keys: Sequence[str], ts: str, lease_s: int, late: str = "10 minutes") -> DataFrame:
     """Streaming form: sessions of heartbeats without a gap of a lease; closed when the watermark passes."""
     window = F.session_window(F.col(ts), f"{int(lease_s)} seconds")
-    out = beats.withWatermark(ts, late).groupBy(*keys, window.alias("w")).agg(N.alias("beats"))
+    out = beats.withWatermark(ts, late).groupBy(*keys, window.alias("w")).agg(n_rows().alias("beats"))
     return out.select(*keys, F.col("w.start").alias("first_seen"), F.col("w.end").alias("lost_at"), "beats")
 
 
@@ -118,13 +118,13 @@ def failure_bursts(failures: DataFrame, client: str, ts: str, limit: int = 20, w
     reach = F.floor((F.col("__us") + span) / width)
     copies = marked.withColumn("__blk", F.explode(F.sequence(F.col("__home"), reach)))
     w = W.partitionBy(client, "__blk").orderBy("__us").rangeBetween(-span, 0)
-    out = copies.withColumn("failures", N.over(w)).filter("__blk = __home")
+    out = copies.withColumn("failures", n_rows().over(w)).filter("__blk = __home")
     return out.filter(F.col("failures") >= limit).drop("__us", "__home", "__blk")
 
 
 def stream_bursts(failures: DataFrame, client: str, ts: str, limit: int = 20, window: str = "300 seconds", slide: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
     """Streaming form on sliding windows, exact to the slide."""
-    out = failures.withWatermark(ts, late).groupBy(client, F.window(ts, window, slide).alias("w")).agg(N.alias("failures"))
+    out = failures.withWatermark(ts, late).groupBy(client, F.window(ts, window, slide).alias("w")).agg(n_rows().alias("failures"))
     return out.filter(F.col("failures") >= limit).select(client, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "failures")
 
 
