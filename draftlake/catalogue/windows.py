@@ -228,8 +228,8 @@ def reachability(t: Tables) -> DataFrame:
     "best_candidate",
     """
     WITH c AS (SELECT l_orderkey AS view_id, l_partkey * 10 + l_linenumber AS candidate_id, l_linenumber AS attempt, l_suppkey AS seed, l_discount AS d, l_tax = 0 AS ok, l_returnflag = 'R' AS comp FROM lineitem),
-    g AS (SELECT view_id, candidate_id AS good FROM c WHERE ok QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY attempt, d, seed) = 1),
-    f AS (SELECT view_id, candidate_id AS fail FROM c QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY d, seed, attempt) = 1),
+    g AS (SELECT view_id, candidate_id AS good FROM c WHERE ok QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY attempt, d, seed, candidate_id) = 1),
+    f AS (SELECT view_id, candidate_id AS fail FROM c QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY d, seed, attempt, candidate_id) = 1),
     a AS (SELECT view_id, max(attempt) AS attempts, bool_or(comp) AS comp FROM c GROUP BY 1)
     SELECT view_id, CASE WHEN good IS NOT NULL THEN 'refined' WHEN comp THEN 'hard_composite' ELSE 'fallback_base' END AS status,
       CASE WHEN good IS NOT NULL THEN good WHEN comp THEN fail END AS delivered, attempts

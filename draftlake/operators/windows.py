@@ -265,8 +265,8 @@ def best_candidate(candidates: DataFrame, key: str = "view_id") -> DataFrame:
     """Per view the passing candidate of the earliest attempt with the lowest edge delta, then seed;
     else the best failing one for a composite; else the base. ``composite_passed`` tells whether the
     view's composite passed."""
-    order = F.struct("attempt", F.coalesce("edge_delta", F.lit(0.0)).alias("delta"), "seed")
-    fail_order = F.struct(F.coalesce("edge_delta", F.lit(0.0)).alias("delta"), "seed", "attempt")
+    order = F.struct("attempt", F.coalesce("edge_delta", F.lit(0.0)).alias("delta"), "seed", "candidate_id")
+    fail_order = F.struct(F.coalesce("edge_delta", F.lit(0.0)).alias("delta"), "seed", "attempt", "candidate_id")
     agg = candidates.groupBy(key).agg(
         F.min_by(F.when(F.col("passed"), F.col("candidate_id")), F.when(F.col("passed"), order)).alias("__good"),
         F.min_by("candidate_id", fail_order).alias("__fail"),
