@@ -328,7 +328,7 @@ def asof_header(t: Tables) -> DataFrame:
 @query(
     "typed_cells",
     """
-    SELECT l_orderkey AS sheet, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS row_index, 'P' || l_partkey % 1000 AS tag,
+    SELECT l_orderkey AS sheet, ((l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS row_index, 'P' || l_partkey % 1000 AS tag,
       'door_window' AS kind, CAST(l_quantity AS DOUBLE) * CAST(0.01 AS DOUBLE) AS width,
       CASE WHEN l_tax * 100 > 3.5 THEN CAST(l_linenumber * 5 AS DOUBLE) * CASE WHEN l_linenumber * 5 > 10 THEN CAST(0.01 AS DOUBLE) ELSE 1 END END AS height,
       CAST(l_linenumber AS DOUBLE) AS qty, l_returnflag AS material
@@ -337,7 +337,7 @@ def asof_header(t: Tables) -> DataFrame:
 )
 def typed_cells(t: Tables) -> DataFrame:
     """TXT-10: order lines as rows of a door schedule with a Turkish header row."""
-    sheet, row = F.col("l_orderkey").alias("sheet"), ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("row_index")
+    sheet, row = F.col("l_orderkey").alias("sheet"), (((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("bigint")).alias("row_index")
     line = t.lineitem.select(
         sheet, row,
         F.posexplode(
