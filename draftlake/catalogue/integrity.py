@@ -285,7 +285,7 @@ def pinned_files(t: Tables) -> DataFrame:
 )
 def redacted_text(t: Tables) -> DataFrame:
     """DED-11: secrets and addresses replaced over whole texts, totals per source."""
-    r = op.redact_secrets(t.documents.select("source", "text"), ["text"], f"{SECRET_PATTERN}|{EMAIL}")
+    r = op.redact_secrets(t.spread("documents").select("source", "text"), ["text"], f"{SECRET_PATTERN}|{EMAIL}")
     return r.groupBy("source").agg(
         F.sum("redactions").alias("redactions"),
         F.count_if(F.col("redactions") > 0).alias("documents"),

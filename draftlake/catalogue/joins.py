@@ -18,7 +18,7 @@ def listed_words(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Folded words of the benchmark as listed tags, those of the documents as occurrences."""
     tags = lambda d, k: explode_words(d, [k]).select(k, fold(F.col("word")).alias("tag")).filter("tag <> ''")
     rows = tags(t.benchmark, "item_id").distinct()
-    hits = tags(t.documents, "doc_id").withColumnRenamed("doc_id", "page_id")
+    hits = tags(t.spread("documents"), "doc_id").withColumnRenamed("doc_id", "page_id")
     return rows, hits
 
 

@@ -19,6 +19,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores where its files give fewer tasks than there are cores (one row
+        group is one task); a large table has more splits than cores and stays as it is."""
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     def add(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:

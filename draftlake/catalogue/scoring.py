@@ -22,7 +22,7 @@ def doc_features(t: Tables) -> DataFrame:
     lines = n - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     digits = n - F.length(F.regexp_replace("text", "[0-9]", ""))
     x = F.array(F.log1p(n.cast("double")), lines / n, digits / n)
-    return t.documents.select("doc_id", "source", x.alias("x"))
+    return t.spread("documents").select("doc_id", "source", x.alias("x"))
 
 
 FEATURES_SQL = """f AS (SELECT doc_id, source, ln(1 + length(text)) AS a, (length(text) - length(replace(text, chr(10), ''))) / length(text) AS b,

@@ -52,7 +52,7 @@ def placed_words(docs: DataFrame, gap: int = 10) -> DataFrame:
 )
 def overlap_chunks(t: Tables) -> DataFrame:
     """TXT-1: overlapping windows over whole texts."""
-    c = op.overlap_chunks(t.documents.select("doc_id", "text"))
+    c = op.overlap_chunks(t.spread("documents").select("doc_id", "text"))
     return c.select("doc_id", F.col("window").cast("bigint"), "start", F.md5("chunk").alias("chunk_md5"))
 
 
@@ -70,7 +70,7 @@ def overlap_chunks(t: Tables) -> DataFrame:
 def raster_tiles(t: Tables) -> DataFrame:
     """TXT-1: 2-D tiles of a raster as wide as a text is long and as high as it has letters e."""
     e = F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))
-    d = t.documents.select("doc_id", F.col("n_chars").alias("width"), e.cast("bigint").alias("height"))
+    d = t.spread("documents").select("doc_id", F.col("n_chars").alias("width"), e.cast("bigint").alias("height"))
     tiles = op.raster_tiles(d, "width", "height", tile=512)
     return tiles.groupBy("doc_id").agg(
         n_rows().alias("tiles"), F.max("x").alias("last_x"), F.max("y").alias("last_y")
@@ -88,7 +88,7 @@ def raster_tiles(t: Tables) -> DataFrame:
 )
 def fold_groups(t: Tables) -> DataFrame:
     """TXT-2: spelling variants of every word of all documents."""
-    return op.group_by_fold(op.explode_words(t.documents, ["doc_id"]), "word")
+    return op.group_by_fold(op.explode_words(t.spread("documents"), ["doc_id"]), "word")
 
 
 @query(
@@ -118,7 +118,7 @@ def measurements(t: Tables) -> DataFrame:
         .when(k == 6, F.format_string("%d'-6 1/2\"", q))
         .otherwise(F.format_string("%d.250", q))
     )
-    mined = op.mine_measurements(t.lineitem.select(text.alias("text")), [])
+    mined = op.mine_measurements(t.spread("lineitem").select(text.alias("text")), [])
     return op.measurement_stats(mined)
 
 
@@ -138,7 +138,7 @@ def measurements(t: Tables) -> DataFrame:
 def document_measurements(t: Tables) -> DataFrame:
     """TXT-3: readings in running text, per document and unit. Texts with feet marks are left to the
     composed strings of ``measurements`` (an apostrophe after a digit is no length in prose)."""
-    docs = t.documents.filter(~F.contains("text", F.lit("'")) & ~F.contains("text", F.lit("′")))
+    docs = t.spread("documents").filter(~F.contains("text", F.lit("'")) & ~F.contains("text", F.lit("′")))
     mined = op.mine_measurements(docs, ["doc_id"])
     return mined.groupBy("doc_id", "unit").agg(n_rows().alias("n"), F.count_distinct("raw").alias("distinct_raw"))
 
@@ -161,7 +161,7 @@ def scales(t: Tables) -> DataFrame:
         .otherwise(F.format_string("Note 1:%d", "l_partkey"))
     )
     no = F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")
-    lines = t.lineitem.select("l_orderkey", text.alias("text"), no.alias("line_no"))
+    lines = t.spread("lineitem").select("l_orderkey", text.alias("text"), no.alias("line_no"))
     return op.mine_scales(lines, ["l_orderkey"])
 
 
@@ -181,7 +181,7 @@ def scales(t: Tables) -> DataFrame:
 )
 def document_tags(t: Tables) -> DataFrame:
     """TXT-5: tags among all document words and among codes composed from customers."""
-    words = op.explode_words(t.documents, ["doc_id"]).select(F.col("word").alias("text"))
+    words = op.explode_words(t.spread("documents"), ["doc_id"]).select(F.col("word").alias("text"))
     prefix = F.substr(F.lit("KDPW"), (F.col("c_nationkey") % 4 + 1).cast("int"), F.lit(1))
     codes = t.customer.select(
         F.inline(
@@ -225,7 +225,7 @@ def repaired_tags(t: Tables) -> DataFrame:
 )
 def document_lines(t: Tables) -> DataFrame:
     """TXT-7: lines rebuilt from the placed words of whole documents."""
-    lines = lay.lines_from_words(placed_words(t.documents), ["doc_id"])
+    lines = lay.lines_from_words(placed_words(t.spread("documents")), ["doc_id"])
     return lines.select("doc_id", "y0", "x0", "n_words", F.md5("text").alias("text_md5"))
 
 
@@ -274,7 +274,7 @@ LABELS = {"the": ["the"], "is": ["is", "est"], "of": ["of", "de"], "in": ["in",
 )
 def label_values(t: Tables) -> DataFrame:
     """TXT-8: lines that start with a function word as labels, the nearest line as value."""
-    single = placed_words(t.documents.withColumn("text", F.regexp_replace("text", " +", " ")))
+    single = placed_words(t.spread("documents").withColumn("text", F.regexp_replace("text", " +", " ")))
     lines = lay.lines_from_words(single, ["doc_id"])
     out = lay.label_values(lines, ["doc_id"], LABELS)
     pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), F.md5(e["value"])))
@@ -304,7 +304,7 @@ HEADERS = {"a": ["the", "la", "der"], "b": ["of", "de", "die"], "c": ["and", "et
 )
 def table_cells(t: Tables) -> DataFrame:
     """TXT-9: widely spaced words as a table under the first line with two header words."""
-    cells = lay.table_from_words(placed_words(t.documents, gap=40), ["doc_id"], HEADERS)
+    cells = lay.table_from_words(placed_words(t.spread("documents"), gap=40), ["doc_id"], HEADERS)
     return cells.groupBy("doc_id", "col_index").agg(
         n_rows().alias("cells"), F.sum("row_index").alias("row_sum"), F.min(F.md5("value")).alias("first_md5")
     )
@@ -338,7 +338,7 @@ def asof_header(t: Tables) -> DataFrame:
 def typed_cells(t: Tables) -> DataFrame:
     """TXT-10: order lines as rows of a door schedule with a Turkish header row."""
     sheet, row = F.col("l_orderkey").alias("sheet"), (((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("bigint")).alias("row_index")
-    line = t.lineitem.select(
+    line = t.spread("lineitem").select(
         sheet, row,
         F.posexplode(
             F.array(
@@ -395,7 +395,7 @@ def word_features(t: Tables) -> DataFrame:
             ),
         )
     )
-    f = op.word_features(t.documents.select("doc_id", words.alias("words")))
+    f = op.word_features(t.spread("documents").select("doc_id", words.alias("words")))
     names = ["log_words", "numeric_frac", "avg_word_len", "long_line_words", "kw_site_plan", "kw_text_document"]
     return f.select("doc_id", *[F.round(n, 9).alias(n) for n in names])
 

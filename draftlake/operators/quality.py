@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.numeric import n_rows
+from draftlake.functions.ordered import attach, magnitude_block, numbered
 
 # Check name, family, how it is compared with the base, comparator, limit.
 CHECKS = [
@@ -25,17 +26,36 @@ REQUIRED_FAMILIES = ["geometry", "technical", "brief", "artifact"]
 
 def worst_item_delta(base: DataFrame, cand: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
     """Per candidate: worst loss over the base's items, items newly lost, items newly extra.
-    ``base`` is keyed by keys[:-1], ``cand`` by keys with the candidate last."""
-    view, cand_id = list(keys[:-1]), keys[-1]
-    cands = cand.select(*keys).distinct()
-    want = cands.join(base.select(*view, item, F.col(value).alias("__base")), view)
-    got = cand.select(*keys, item, F.col(value).alias("__got"))
-    j = want.join(got, [*keys, item], "full_outer")
-    base_v, got_v = F.coalesce("__base", F.lit(0.0)), F.coalesce("__got", F.lit(0.0))
-    return j.groupBy(*view, cand_id).agg(
-        F.greatest(F.coalesce(F.max(F.when(F.col("__base").isNotNull(), base_v - got_v)), F.lit(0.0)), F.lit(0.0)).alias("worst"),
-        F.count_if((base_v > 0) & (got_v == 0)).alias("new_missing"),
-        F.count_if(F.col("__base").isNull() & (got_v > 0)).alias("new_extra"),
+    ``base`` is keyed by keys[:-1], ``cand`` by keys with the candidate last.
+
+    Candidates only meet the items they have. Items they lack follow from counts, and the greatest
+    lacking item from the base's items ranked by value: it is the first rank the candidate misses.
+    """
+    view = list(keys[:-1])
+    b = base.filter(F.col(value).isNotNull()).select(*view, item, F.col(value).alias("__base"))
+    ranked = numbered(
+        b.withColumn("__neg", -F.col("__base")), view, ["__neg", item], magnitude_block(F.col("__neg")), "__rank"
+    ).drop("__neg")
+    totals = b.groupBy(*view).agg(n_rows().alias("__items"), F.count_if(F.col("__base") > 0).alias("__positive"))
+    got = cand.select(*keys, item, F.coalesce(F.col(value), F.lit(0.0)).alias("__got"))
+    met = attach(got, ranked, [*view, item], "left")
+    # ranks a candidate has, without gaps from 1 on: rank equals its own position among them
+    own = met.filter(F.col("__rank").isNotNull()).select(*keys, "__rank")
+    placed = numbered(own, keys, ["__rank"], F.floor(F.col("__rank") / 4096), "__at")
+    prefix = placed.filter("__rank = __at").groupBy(*keys).agg((F.max("__rank") + 1).alias("__rank"))
+    per = met.groupBy(*keys).agg(
+        F.max(F.col("__base") - F.col("__got")).alias("__loss"),
+        F.count_if((F.col("__base") > 0) & (F.col("__got") != 0)).alias("__held"),
+        F.count_if(F.col("__base").isNull() & (F.col("__got") > 0)).alias("new_extra"),
+    )
+    per = attach(attach(per, prefix, keys, "left"), totals, view, "left").fillna(1, ["__rank"])
+    lacking = ranked.select(*view, "__rank", F.col("__base").alias("__lack"))
+    out = attach(per, lacking, [*view, "__rank"], "left")
+    zero = F.lit(0.0)
+    return out.select(
+        *keys,
+        F.greatest(F.coalesce("__loss", zero), F.coalesce("__lack", zero), zero).alias("worst"),
+        (F.coalesce("__positive", F.lit(0)) - F.col("__held")).alias("new_missing"), "new_extra",
     )
 
 

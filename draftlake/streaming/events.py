@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from draftlake.functions.numeric import n_rows
 from draftlake.functions.numeric import significant
-from draftlake.functions.ordered import scan, time_block
+from draftlake.functions.ordered import attach, scan, time_block
 
 EVENT_LIMIT = 500
 TERMINAL = ["succeeded", "failed", "cancelled"]
@@ -35,27 +37,33 @@ def follow_events(
 # ---------------------------------------------------------------- STR-2
 
 
+def _flat(events: DataFrame) -> DataFrame:
+    return events.select("id", "job_id", "type", "data.status", "data.progress", "data.message", "data.retry")
+
+
 def job_state(events: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Current state per job from its events (id, job_id, type, data struct<status,progress,message,
-    retry>). Only associative aggregates, so the same function runs on a stream in update mode.
+    retry>). Map-side combined aggregates only; nothing of a job's log is collected.
 
     A failure becomes cancelled when cancellation was requested, queued while attempts are left and
     a retry was asked for, otherwise failed. Attempts start again at every gate.
     """
-    kind, d = F.col("type"), F.col("data")
-    status = F.when(kind == "status", d["status"])
-    gate = F.max(F.when((kind == "status") & (d["status"] == "waiting_gate"), F.col("id"))).alias("gate_id")
-    runs = F.array_sort(F.collect_set(F.when((kind == "status") & (d["status"] == "running"), F.col("id")))).alias("runs")
-    out = events.groupBy("job_id").agg(
-        F.max_by(status, F.when(status.isNotNull(), F.col("id"))).alias("last"),
-        F.max(F.when(status.isNotNull(), F.col("id"))).alias("last_id"),
-        F.max(F.when(kind == "error", F.col("id"))).alias("error_id"),
-        F.max_by(F.when(kind == "error", d["retry"]), F.when(kind == "error", F.col("id"))).alias("retry"),
-        F.bool_or((kind == "log") & (d["message"] == "cancellation requested")).alias("cancel"),
-        F.max_by(F.when(kind == "progress", d["progress"]), F.when(kind == "progress", F.col("id"))).alias("progress"),
-        F.max("id").alias("cursor"), n_rows().alias("events"), gate, runs,
+    e, kind = _flat(events), F.col("type")
+    is_status, is_error, is_progress = kind == "status", kind == "error", kind == "progress"
+    gates = e.filter(is_status & (F.col("status") == "waiting_gate")).groupBy("job_id").agg(F.max("id").alias("gate_id"))
+    runs = attach(e.filter(is_status & (F.col("status") == "running")), gates, ["job_id"], "left")
+    tries = runs.filter(F.col("id") > F.coalesce("gate_id", F.lit(-1))).groupBy("job_id").agg(n_rows().alias("attempts"))
+    out = e.groupBy("job_id").agg(
+        F.max_by("status", F.when(is_status, F.col("id"))).alias("last"),
+        F.max(F.when(is_status, F.col("id"))).alias("last_id"),
+        F.max(F.when(is_error, F.col("id"))).alias("error_id"),
+        F.max_by("retry", F.when(is_error, F.col("id"))).alias("retry"),
+        F.bool_or((kind == "log") & (F.col("message") == "cancellation requested")).alias("cancel"),
+        F.max_by("progress", F.when(is_progress, F.col("id"))).alias("progress"),
+        F.max("id").alias("cursor"), n_rows().alias("events"),
     )
-    attempts = F.size(F.filter("runs", lambda i: i > F.coalesce("gate_id", F.lit(-1)))).cast("bigint")
+    out = attach(out, tries, ["job_id"], "left")
+    attempts = F.coalesce("attempts", F.lit(0).cast("bigint"))
     pending = F.coalesce(F.col("error_id") > F.col("last_id"), F.col("error_id").isNotNull() & F.col("last_id").isNull())
     failed = (
         F.when(F.coalesce("cancel", F.lit(False)), "cancelled")
@@ -70,6 +78,45 @@ def job_state(events: DataFrame, max_attempts: int = 3) -> DataFrame:
     ).withColumn("terminal", F.col("status").isin(TERMINAL))
 
 
+STATE = "status string, progress double, attempts bigint, cancel boolean, cursor bigint, events bigint"
+
+
+def _fold_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, max_attempts: int) -> Iterator[pd.DataFrame]:
+    """One job's new events applied to its constant-size state, in id order within the micro-batch."""
+    status, progress, attempts, cancel, cursor, events = state.get if state.exists else ("queued", 0.0, 0, False, -1, 0)
+    rows = pd.concat(list(batches)).sort_values("id")
+    for r in rows.itertuples():
+        if r.type == "status":
+            status = r.status
+            attempts = 0 if status == "waiting_gate" else attempts + (status == "running")
+        elif r.type == "progress":
+            progress = float(r.progress)
+        elif r.type == "log":
+            cancel = cancel or r.message == "cancellation requested"
+        elif r.type == "error":
+            again = bool(r.retry) and attempts < max_attempts
+            status = "cancelled" if cancel else "queued" if again else "failed"
+        cursor, events = int(r.id), events + 1
+    attempts = int(attempts)
+    state.update((status, progress, attempts, cancel, cursor, events))
+    shown = 1.0 if status == "succeeded" else min(1.0, max(0.0, progress))
+    yield pd.DataFrame(
+        [(key[0], status, shown, attempts, cancel, cursor, events, status in TERMINAL)],
+        columns=["job_id", "status", "progress", "attempts", "cancel_requested", "cursor", "events", "terminal"],
+    )
+
+
+def stream_job_state(events: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """Streaming form: state per job carried between micro-batches; emits changed jobs (update mode).
+    The log is append-only with growing ids, so a micro-batch continues where the last one ended."""
+    key_type = events.schema["job_id"].dataType.simpleString()
+    return _flat(events).groupBy("job_id").applyInPandasWithState(
+        lambda key, batches, state: _fold_job(key, batches, state, max_attempts),
+        f"job_id {key_type}, status string, progress double, attempts bigint, cancel_requested boolean, cursor bigint, events bigint, terminal boolean",
+        STATE, "update", GroupStateTimeout.NoTimeout,
+    )
+
+
 # ---------------------------------------------------------------- STR-3
 
 

@@ -34,11 +34,15 @@ def test_job_state_batch(spark):
 def test_job_state_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     for lo, hi in ((1, 6), (7, 15)):
-        log(spark).filter(F.col("id").between(lo, hi)).write.mode("append").parquet(src)
+        log(spark).filter(F.col("id").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    q = ev.job_state(stream).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
+    changes = []
+    q = ev.stream_job_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: changes.extend(df.collect())).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.job_id: (r.status, r.progress, r.attempts) for r in spark.table("states").collect()} == WANT
+    newest = {r.job_id: r for r in sorted(changes, key=lambda r: r.cursor)}
+    assert {k: (r.status, r.progress, r.attempts) for k, r in newest.items()} == WANT
+    batch = {r.job_id: r.asDict() for r in ev.job_state(log(spark)).collect()}
+    assert {k: r.asDict() for k, r in newest.items()} == batch
 
 
 def test_cursor_resumes(spark, tmp_path):
