@@ -125,21 +125,18 @@ def measurements(t: Tables) -> DataFrame:
 @query(
     "document_measurements",
     """
-    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*(?:\\s?(?:mm|cm|m)\\b)?')) AS raw
-               FROM documents WHERE NOT contains(text, '''') AND NOT contains(text, '′')),
-    u AS (SELECT doc_id, raw, CASE WHEN raw LIKE '%mm' THEN 'mm' WHEN raw LIKE '%cm' THEN 'cm' WHEN raw LIKE '%m' THEN 'm' END AS s,
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '%s')) AS raw FROM documents),
+    u AS (SELECT doc_id, raw, CASE WHEN regexp_matches(raw, '[''′]') THEN 'ft-in' WHEN raw LIKE '%%mm' THEN 'mm' WHEN raw LIKE '%%cm' THEN 'cm' WHEN raw LIKE '%%m' THEN 'm' END AS s,
       trim(regexp_replace(raw, '(mm|cm|m)$', '')) AS b FROM m),
-    ok AS (SELECT * FROM u WHERE regexp_full_match(b, '(\\d{1,3}([., ]\\d{3})+|\\d+)([.,]\\d+)?'))
+    ok AS (SELECT * FROM u WHERE s = 'ft-in' OR regexp_full_match(b, '(\\d{1,3}([., ]\\d{3})+|\\d+)([.,]\\d+)?'))
     SELECT doc_id, coalesce(s, CASE WHEN regexp_full_match(b, '\\d{1,3}([.,]\\d{3})*(\\.\\d{3}(,\\d+)?|,\\d{3}(\\.\\d+)?)') THEN 'ambiguous'
         WHEN regexp_matches(b, '[.,]\\d{1,2}$') THEN 'm' ELSE 'ambiguous' END) AS unit,
       count(*) AS n, count(DISTINCT raw) AS distinct_raw FROM ok GROUP BY ALL
-    """,
+    """ % op.MEASURE_PATTERN.replace("'", "''"),
 )
 def document_measurements(t: Tables) -> DataFrame:
-    """TXT-3: readings in running text, per document and unit. Texts with feet marks are left to the
-    composed strings of ``measurements`` (an apostrophe after a digit is no length in prose)."""
-    docs = t.spread("documents").filter(~F.contains("text", F.lit("'")) & ~F.contains("text", F.lit("′")))
-    mined = op.mine_measurements(docs, ["doc_id"])
+    """TXT-3: readings in running text, per document and unit, over whole texts."""
+    mined = op.mine_measurements(t.spread("documents"), ["doc_id"])
     return mined.groupBy("doc_id", "unit").agg(n_rows().alias("n"), F.count_distinct("raw").alias("distinct_raw"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.numeric import significant
+from draftlake.functions.ordered import attach
 from draftlake.functions.text import REDACTED, SECRET_PATTERN
 
 # Intake limits.
@@ -45,7 +46,7 @@ def dedupe_by_content(
     else:
         holder = holder.withColumn("__old", F.lit(None).cast(docs.schema[doc_id].dataType))
     holder = holder.select(*keys, F.coalesce("__old", "__new").alias("document_id"), "__old")
-    joined = docs.join(holder, keys)
+    joined = attach(docs, holder, keys)
     repeat = F.col("__old").isNotNull() | (F.col(doc_id) != F.col("document_id"))
     return joined.withColumn("deduplicated", repeat).drop("__old")
 

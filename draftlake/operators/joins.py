@@ -314,6 +314,51 @@ def match_one_to_one(pairs: DataFrame, left: str, right: str, score: str = "scor
     return pairs.select(left, right, score).filter(F.lit(False)) if done is None else done
 
 
+def carry_over_rooms(pairs: DataFrame) -> DataFrame:
+    """Old rooms kept for new ones: new rooms choose by falling area, each the old room it overlaps
+    most among the free ones, and keeps it when the overlap is at least half of the smaller room.
+
+    ``pairs`` has new_id, new_area, old_id, old_area, overlap. A new room is settled in a round when no
+    larger undecided room reaches the old room it wants; so every round equals the sequential order.
+    """
+    rest, kept = cut_lineage(pairs.filter("overlap > 0")), None
+    while not rest.isEmpty():
+        want = rest.groupBy("new_id", "new_area").agg(
+            F.max_by(F.struct("old_id", "old_area", "overlap"), F.struct("overlap", F.col("old_id"))).alias("w")
+        ).select("new_id", "new_area", "w.*")
+        first = rest.groupBy("old_id").agg(F.max_by("new_id", F.struct("new_area", "new_id")).alias("__first"))
+        settled = cut_lineage(want.join(first, "old_id").filter(F.col("new_id") == F.col("__first")).drop("__first"))
+        good = settled.filter(F.col("overlap") >= 0.5 * F.least("new_area", "old_area"))
+        part = good.select("new_id", "old_id", "overlap")
+        kept = part if kept is None else kept.unionByName(part)
+        rest = cut_lineage(
+            rest.join(settled.select("new_id"), "new_id", "left_anti").join(good.select("old_id"), "old_id", "left_anti")
+        )
+    return pairs.select("new_id", "old_id", "overlap").filter(F.lit(False)) if kept is None else kept
+
+
+def assign_tags(texts: DataFrame, openings: DataFrame, keys: Sequence[str], reach: float = 1.5) -> DataFrame:
+    """Door and window tags to the nearest compatible opening within reach; each opening and each tag
+    text is used once per plan, nearest pairs first. ``texts`` need text, x, y; ``openings``
+    opening_id, type, x, y."""
+    keys = list(keys)
+    tag = tx.normalise_tag(F.col("text"))
+    t = texts.filter(F.length("text") <= 6).withColumn("tag", tag).withColumn("kind", tx.tag_kind(F.col("tag")))
+    cell = lambda c: F.floor(F.col(c) / reach).cast("bigint")
+    t = t.filter(F.col("kind").isNotNull()).select(
+        *keys, "tag", "kind", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.sequence(cell("x") - 1, cell("x") + 1)).alias("gx"), cell("y").alias("__gy")
+    ).distinct().withColumn("gy", F.explode(F.sequence(F.col("__gy") - 1, F.col("__gy") + 1))).drop("__gy")
+    o = openings.select(*keys, "opening_id", "type", "x", "y", cell("x").alias("gx"), cell("y").alias("gy"))
+    doors, windows = ["door", "double_door", "sliding_door", "french_door", "opening", "pass"], ["window", "french_door"]
+    fits = F.when(F.col("kind") == "door", F.col("type").isin(doors)).otherwise(F.col("type").isin(windows))
+    d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    name = lambda c: F.struct(*keys, F.col(c).alias("v"))
+    near = t.join(o, [*keys, "gx", "gy"]).filter(fits & (d <= reach))
+    pairs = near.groupBy(name("opening_id").alias("l"), name("tag").alias("r")).agg(F.min(d).alias("score"))
+    out = match_one_to_one(pairs, "l", "r")
+    return out.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.v").alias("opening_id"), F.col("r.v").alias("tag"), F.col("score").alias("distance"))
+
+
 # ---------------------------------------------------------------- tolerance and containment
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.numeric import dot, softmax
+from draftlake.operators.aggregates import score_report
 
 # Review limits, temperature range.
 REVIEW_THRESHOLD = 0.8
@@ -164,6 +165,17 @@ def seeded_order(row_id: Column, seed: int) -> Column:
     return F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")))
 
 
+def train_eval_report(train: DataFrame, calibration: DataFrame, features: str, label: str, source: str, model: PageModel) -> DataFrame:
+    """Per source and overall (``all``): training and calibration rows, macro F1 and accuracy of the
+    model on the calibration rows."""
+    scored = score(calibration, features, model).withColumnRenamed("label", "__pred")
+    result = score_report(scored, label, "__pred", source).withColumnRenamed("n", "calibration_rows")
+    per = train.groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
+    counts = per.select(F.explode(F.array(F.col(source), F.lit("all"))).alias(source), "__n")
+    counts = counts.groupBy(source).agg(F.sum("__n").alias("train_rows"))
+    return counts.join(result, source, "full_outer").fillna(0, ["train_rows", "calibration_rows"])
+
+
 def stratified_seeded_sample(
     df: DataFrame, klass: str, row_id: str, per_class: int, seed: int, fraction: float = 0.4
 ) -> DataFrame:

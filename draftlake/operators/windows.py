@@ -292,6 +292,26 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: str) -> D
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
+def audit_tail(log: DataFrame, n: int) -> DataFrame:
+    """Newest n audit rows."""
+    return newest(log, n, "id")
+
+
+def list_jobs(jobs: DataFrame, n: int = 100) -> DataFrame:
+    """Newest n jobs of every project."""
+    return newest_per_key(jobs, ["project_id"], n, "created_at", "id")
+
+
+def latest_job(jobs: DataFrame, kind: str) -> DataFrame:
+    """Newest job of a kind per project."""
+    return latest_by(jobs.filter(F.col("kind") == kind), ["project_id"], F.col("created_at"), F.col("id"))
+
+
+def list_review(items: DataFrame, status: str = "open") -> DataFrame:
+    """Review items of a status, oldest first."""
+    return items.filter(F.col("status") == status).orderBy("created_at", "id")
+
+
 def last_assumption(items: DataFrame, defaults: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """One value per key: the last one used, else the default."""
     used = items.groupBy(*keys).agg(F.max_by(F.struct("value", "reason"), "seq").alias("u"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.session import cut_lineage
+
 # Folder layout of a delivered run, per view and per run.
 VIEW_FILES = [
     ("delivered_png", "renders/", ".png"),
@@ -115,6 +117,29 @@ def upsert(
     return joined.select(*cols)
 
 
+def upsert_open(target: DataFrame, updates: DataFrame, keys: Sequence[str], payload: Sequence[str] = ("payload_json",)) -> DataFrame:
+    """Review items: insert, or overwrite the payload while the stored item is still open."""
+    return upsert(target, updates, keys, payload, guard_open=True)
+
+
+def upsert_stream(stream: DataFrame, path: str, by: str, keys: Sequence[str], payload: Sequence[str], checkpoint: str):
+    """Guarded upsert of a stream of review items into a partitioned table, one writer. A micro-batch
+    only reads and rewrites the partitions it touches; of several items with one key the last one
+    (``arrival``) counts. The new partitions are checkpointed before they replace what was read."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in keys]
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), "arrival").alias("u")).select(*keys, "u.*").drop("arrival")
+        stored = spark.read.parquet(path)
+        touched = stored.join(last.select(by).distinct(), by, "left_semi")
+        rewrite_partitions(cut_lineage(upsert_open(touched, last, keys, payload)), path, by)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rewrite_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replaces only the partitions present in ``df`` (one writer per table)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -89,3 +89,26 @@ def test_reachable(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "a string, b string")
     start = spark.createDataFrame([("c",)], "node string")
     assert {r.node for r in windows.reachable(edges, start).collect()} == {"a", "b", "c"}
+
+
+def test_room_carry_over(spark):
+    rng = random.Random(5)
+    areas_n, areas_o = {i: rng.uniform(2, 30) for i in range(40)}, {100 + i: rng.uniform(2, 30) for i in range(40)}
+    rows = [(n, areas_n[n], o, areas_o[o], round(rng.uniform(0, 1) * min(areas_n[n], areas_o[o]), 4)) for n in areas_n for o in rng.sample(sorted(areas_o), 4)]
+    df = spark.createDataFrame(rows, "new_id int, new_area double, old_id int, old_area double, overlap double")
+    used, want = set(), set()
+    for n in sorted(areas_n, key=lambda n: (-areas_n[n], -n)):
+        free = [r for r in rows if r[0] == n and r[2] not in used]
+        if free:
+            best = max(free, key=lambda r: (r[4], r[2]))
+            if best[4] >= 0.5 * min(best[1], best[3]):
+                used.add(best[2])
+                want.add((n, best[2]))
+    assert {(r.new_id, r.old_id) for r in joins.carry_over_rooms(df).collect()} == want
+
+
+def test_tags_to_openings(spark):
+    texts = spark.createDataFrame([("p", "K-01", 0.0, 0.0), ("p", "K1", 5.0, 5.0), ("p", "P2", 0.1, 0.0), ("p", "K3", 9.0, 9.0), ("p", "Z9", 5.0, 5.0)], "plan string, text string, x double, y double")
+    openings = spark.createDataFrame([("p", "a", "door", 0.5, 0.0), ("p", "b", "door", 5.2, 5.0), ("p", "c", "window", 1.0, 0.0), ("p", "d", "door", 5.0, 6.0)], "plan string, opening_id string, type string, x double, y double")
+    got = {(r.opening_id, r.tag) for r in joins.assign_tags(texts, openings, ["plan"]).collect()}
+    assert got == {("b", "K1"), ("c", "P2")}

@@ -83,3 +83,15 @@ def test_licences(spark):
     got = {r.name: (r.spdx, r.problem) for r in lic.spdx_audit(p, arms_length=["sub"]).collect()}
     assert got["PyMuPDF"][1] == "explicitly blocked" and got["nvidia-cu"] == ("LicenseRef-NVIDIA-CUDA-EULA", None)
     assert got["tool"] == ("GPL-3.0-only", None) and got["x"] == ("ISC", None)
+
+
+def test_upsert_stream(spark, tmp_path):
+    path, src = str(tmp_path / "t"), str(tmp_path / "in")
+    schema = "project_id string, id string, status string, payload_json string"
+    spark.createDataFrame([("p", "k1", "open", "a"), ("p", "k2", "resolved", "b"), ("q", "k3", "open", "c")], schema).write.partitionBy("project_id").parquet(path)
+    new = [("p", "k1", "open", "A1", 1), ("p", "k1", "open", "A2", 2), ("p", "k2", "open", "B", 3), ("p", "k9", "open", "N", 4)]
+    spark.createDataFrame(new, schema + ", arrival bigint").write.parquet(src)
+    stream = spark.readStream.schema(schema + ", arrival bigint").parquet(src)
+    sinks.upsert_stream(stream, path, "project_id", ["project_id", "id"], ["payload_json"], str(tmp_path / "ck")).awaitTermination(120)
+    got = {(r.project_id, r.id): (r.status, r.payload_json) for r in spark.read.parquet(path).collect()}
+    assert got == {("p", "k1"): ("open", "A2"), ("p", "k2"): ("resolved", "b"), ("p", "k9"): ("open", "N"), ("q", "k3"): ("open", "c")}
