@@ -194,8 +194,8 @@ def one_to_one(t: Tables) -> DataFrame:
     sequential run are in the tests."""
     s = t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal"), "s_suppkey")
     c = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"), "c_custkey")
-    pairs = op.near_pairs_1d(s, c, ["nation"], "bal", "s_suppkey", "c_custkey", tol=50.0)
-    return op.match_one_to_one(pairs, "s_suppkey", "c_custkey").withColumn("score", F.round("score", 4))
+    out = op.match_values(s, c, ["nation"], "bal", "s_suppkey", "c_custkey", tol=50.0)
+    return out.withColumn("score", F.round("score", 4))
 
 
 @query(

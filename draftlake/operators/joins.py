@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import text as tx
 from draftlake.functions.numeric import box_area, box_iou, box_overlap
-from draftlake.functions.ordered import attach, magnitude_block, scan
+from draftlake.functions.ordered import attach, magnitude_block, numbered, scan
 from draftlake.session import cut_lineage
 
 # Roles from weakest to strongest.
@@ -359,6 +359,41 @@ def assign_tags(texts: DataFrame, openings: DataFrame, keys: Sequence[str], reac
     return out.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.v").alias("opening_id"), F.col("r.v").alias("tag"), F.col("score").alias("distance"))
 
 
+def match_values(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, left_id: str, right_id: str, tol: float
+) -> DataFrame:
+    """Greedy one-to-one matching by distance of a number within ``tol``; equal to
+    :func:`match_one_to_one` over all pairs in reach, without listing them for repeated values.
+
+    Equal values come first in the greedy order and pair up by rank. Of the rest, rows with one value
+    are interchangeable and taken by ascending id, so a value needs no more rows than the other side
+    has in reach. Ids must be whole numbers.
+    """
+    keys = list(keys)
+    at = [*keys, value]
+    slice_of = lambda c: F.floor(F.col(c) / 4096)
+    a = numbered(left.select(*at, left_id), at, [left_id], slice_of(left_id), "__rank")
+    b = numbered(right.select(*at, right_id), at, [right_id], slice_of(right_id), "__rank")
+    same = cut_lineage(a.join(b, [*at, "__rank"]).select(*keys, left_id, right_id, F.lit(0.0).alias("score")))
+    rest_a = left.select(*at, left_id).join(same.select(left_id), left_id, "left_anti")
+    rest_b = right.select(*at, right_id).join(same.select(right_id), right_id, "left_anti")
+    cell = F.floor(F.col(value) / tol).cast("bigint")
+
+    def needed(mine: DataFrame, mine_id: str, other: DataFrame) -> DataFrame:
+        reach = other.groupBy(*keys, cell.alias("__g0")).agg(F.count(F.lit(1)).alias("__c"))
+        reach = reach.select(*keys, F.explode(F.sequence(F.col("__g0") - 1, F.col("__g0") + 1)).alias("__g"), "__c")
+        reach = reach.groupBy(*keys, "__g").agg(F.sum("__c").alias("__reach"))
+        ranked = numbered(mine, at, [mine_id], slice_of(mine_id), "__rank").withColumn("__g", cell)
+        kept = ranked.join(reach, [*keys, "__g"]).filter(F.col("__rank") <= F.col("__reach"))
+        return kept.select(*at, mine_id)
+
+    small_a, small_b = cut_lineage(needed(rest_a, left_id, rest_b)), cut_lineage(needed(rest_b, right_id, rest_a))
+    pairs = near_pairs_1d(small_a, small_b, keys, value, left_id, right_id, tol)
+    near = match_one_to_one(pairs, left_id, right_id)
+    scope = left.select(left_id, *keys)
+    return same.unionByName(near.join(scope, left_id).select(*keys, left_id, right_id, "score"))
+
+
 # ---------------------------------------------------------------- tolerance and containment
 
 

@@ -46,6 +46,22 @@ def test_one_to_one(spark):
             used_l.add(i)
             used_r.add(j)
     assert {(r.l, r.r) for r in joins.match_one_to_one(pairs, "l", "r").collect()} == want
+    assert {(r.l, r.r) for r in joins.match_values(a, b, ["g"], "v", "l", "r", 0.5).collect()} == want
+
+
+def test_one_to_one_with_hot_values(spark):
+    rng = random.Random(6)
+    value = lambda i, hot: hot if i % 3 == 0 else round(rng.uniform(9, 11), 2)
+    left = [(0, i, value(i, 10.0)) for i in range(90)]
+    right = [(0, 1000 + i, value(i, 10.0 if i % 2 else 10.1)) for i in range(120)]
+    a, b = spark.createDataFrame(left, "g int, l int, v double"), spark.createDataFrame(right, "g int, r int, v double")
+    want, used_l, used_r = set(), set(), set()
+    for s, i, j in sorted((abs(x[2] - y[2]), x[1], y[1]) for x in left for y in right if abs(x[2] - y[2]) <= 0.2):
+        if i not in used_l and j not in used_r:
+            want.add((i, j))
+            used_l.add(i)
+            used_r.add(j)
+    assert {(r.l, r.r) for r in joins.match_values(a, b, ["g"], "v", "l", "r", 0.2).collect()} == want
 
 
 def test_views(spark):
