@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(name: str = "draftlake", cores: str = "8", memory: str = "8g") -> SparkSession:
-    """Session for tests and the benchmark; a cluster brings its own."""
+    """Session for tests and the benchmark on one machine; a cluster brings its own, with its own
+    shared checkpoint folder."""
+    folder = os.environ.get("DRAFTLAKE_CHECKPOINTS") or tempfile.mkdtemp(prefix="draftlake-ckpt-")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -22,6 +25,8 @@ def local_session(name: str = "draftlake", cores: str = "8", memory: str = "8g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINT_KEY, folder)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -31,12 +36,9 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="draftlake-ckpt-"))
-    else:
+    if not shared:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+    sc.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
