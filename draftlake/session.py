@@ -36,9 +36,9 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if not shared:
+    if not shared and not sc.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    sc.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="draftlake-ckpt-"))  # unset: one process, as in tests
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
