@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, quality_rules
+from draftlake.llm import chat, exact_dedup, quality_model, quality_rules
 from draftlake.llm.oracles import ORACLES
 
 QUERIES = {}
@@ -57,3 +57,9 @@ def op8_schema_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("text").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query
+def op10_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality_model.classify(docs, table(spark, folder, "labels")).select("doc_id", "quality.*")
