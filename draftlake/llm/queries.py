@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, quality_model, quality_rules
+from draftlake.llm import chat, exact_dedup, packing, quality_model, quality_rules
 from draftlake.llm.oracles import ORACLES
 
 QUERIES = {}
@@ -63,3 +63,14 @@ def op8_schema_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 def op10_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_model.classify(docs, table(spark, folder, "labels")).select("doc_id", "quality.*")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op9_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), tokenizer=tokenizer_file())
