@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, packing, quality_model, quality_rules
+from draftlake.llm import chat, exact_dedup, near_dedup, packing, quality_model, quality_rules
 from draftlake.llm.oracles import ORACLES
 
 QUERIES = {}
@@ -74,3 +74,8 @@ def tokenizer_file() -> str:
 @query
 def op9_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer=tokenizer_file())
+
+
+@query
+def op5_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, folder, "documents")).drop("h")
