@@ -103,7 +103,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     empty table; extra columns pass through."""
     named = identities(docs, doc_id, text, **options)
     groups = named.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    found = named.join(groups, ["level", "name"]).select("__i", "__h", "keep_id", "group_size")
+    groups = cut_lineage(groups.where("group_size > 1"))
+    found = named.join(groups, ["level", "name"], "left").select(
+        "__i", "__h", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", "rows").alias("group_size"),
+    )
     keyed = docs.select(F.struct("*").alias("__row"), *document_keys(doc_id, text))
     rows = keyed.join(found, ["__i", "__h"])
     first = F.row_number().over(W.partitionBy("__i", "__h").orderBy(F.lit(1))) == 1

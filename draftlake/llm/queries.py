@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, near_dedup, packing, quality_model, quality_rules
+from draftlake.llm import chat, exact_dedup, licences, near_dedup, packing, quality_model, quality_rules
 from draftlake.llm.oracles import ORACLES
 
 QUERIES = {}
@@ -34,8 +34,8 @@ def op1_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
 def op3_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    rows = docs.select("doc_id", "text")
-    return exact_dedup.exact_groups(rows).select("doc_id", "exact.*", digest.alias("text_sha256"))
+    rows = docs.select("doc_id", "text", digest.alias("text_sha256"))
+    return exact_dedup.exact_groups(rows).select("doc_id", "exact.*", "text_sha256")
 
 
 @query
@@ -79,3 +79,9 @@ def op9_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_components(table(spark, folder, "documents")).drop("h")
+
+
+@query
+def op7_template_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licences.scan(docs).select("doc_id", "licence.*")
