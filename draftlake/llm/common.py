@@ -45,10 +45,11 @@ def running_totals(values: Column, chunk: int = 128) -> Column:
     return F.when(n > 0, F.flatten(F.transform(blocks, block))).otherwise(F.array().cast(LONGS))
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start,end,value>>, in code points with an
-    exclusive end. The pieces between the matches and the matches alternate, so their lengths give
-    the places. Patterns must not match the empty string."""
+def spans_of(text: Column, pattern: str, context: int = 40) -> Column:
+    """Leftmost non-overlapping matches as array<struct<start,end,value,left,right>>, in code points
+    with an exclusive end; ``left`` and ``right`` are up to ``context`` characters between a match
+    and its neighbours. The pieces between the matches and the matches alternate, so their lengths
+    give the places. Patterns must not match the empty string."""
 
     def located(hits: Column) -> Column:
         def placed(gaps: Column) -> Column:
@@ -64,19 +65,26 @@ def spans_of(text: Column, pattern: str) -> Column:
                         (F.get(before, i) + F.length(F.get(gaps, i))).alias("start"),
                         (F.get(before, i) + F.length(F.get(gaps, i)) + F.length(h)).alias("end"),
                         h.alias("value"),
+                        F.right(F.get(gaps, i), F.lit(context)).alias("left"),
+                        F.left(F.get(gaps, i + 1), F.lit(context)).alias("right"),
                     ),
                 ),
             )
 
         return let(F.split(text, pattern, -1), placed)
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda hits: F.when(F.size(hits) == 0, none).otherwise(located(hits)),
     )
 
 
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """Key of a row by id and text: equal only for rows that repeat both."""
+    return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("__i"), F.xxhash64(doc_id, text).alias("__h")]
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in the order given."""
     return F.array_join(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.text import let
-from draftlake.llm.common import whole
+from draftlake.llm.common import row_keys, whole
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, templat
     ``score`` is the best containment of a line, 1 where a base phrase stands, else 0. Null or empty
     text has no word and no label; null ids are allowed; repeated rows get equal results (matches are
     combined by id and text); an empty table gives an empty table; extra columns pass through."""
-    key = [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("__i"), F.xxhash64(doc_id, text).alias("__h")]
+    key = row_keys(doc_id, text)
     keyed = docs.select(*key, F.col(text).alias("__text"))
     found = block_matches(keyed, ["__i", "__h"], "__text", templates=templates, threshold=threshold)
     best = found.groupBy("__i", "__h").agg(F.collect_set("label").alias("__labels"), F.max("score").alias("__score"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, licences, near_dedup, packing, quality_model, quality_rules
+from draftlake.llm import chat, exact_dedup, licences, near_dedup, packing, pii, quality_model, quality_rules
+from draftlake.llm.common import span_text
 from draftlake.llm.oracles import ORACLES
 
 QUERIES = {}
@@ -85,3 +86,13 @@ def op5_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
 def op7_template_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return licences.scan(docs).select("doc_id", "licence.*")
+
+
+@query
+def op2_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
