@@ -92,6 +92,13 @@ def span_text(spans: Column) -> Column:
     )
 
 
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The written table, marked for broadcast if it has at most ``most`` (narrow) rows; beyond that
+    the join shuffles both sides as usual."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Smallest id reachable from every id that has an edge: (id, component).
 

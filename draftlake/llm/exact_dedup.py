@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import WS, whole
+from draftlake.llm.common import WS, small_side, whole
 from draftlake.session import cut_lineage
 
 BLOCK_CHARS = 1024
@@ -94,6 +94,18 @@ def identities(
     return out
 
 
+def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(__i, __h, id, rows, keep_id, group_size) per distinct document key. Only groups of several rows
+    are joined back, so a large group meets one row and adaptive execution may split it."""
+    named = identities(docs, doc_id, text, **options)
+    groups = named.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    groups = cut_lineage(groups.where("group_size > 1"))
+    return named.join(groups, ["level", "name"], "left").select(
+        "__i", "__h", "id", "rows", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", "rows").alias("group_size"),
+    )
+
+
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Every row of ``docs`` with a struct ``exact`` (keep_id, group_size, kept).
 
@@ -101,13 +113,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     Of a group the row with the smallest id stays; among rows that repeat that id one stays. Null ids
     are never smaller than an id, and stay only where the group has no other. An empty table gives an
     empty table; extra columns pass through."""
-    named = identities(docs, doc_id, text, **options)
-    groups = named.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    groups = cut_lineage(groups.where("group_size > 1"))
-    found = named.join(groups, ["level", "name"], "left").select(
-        "__i", "__h", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", "rows").alias("group_size"),
-    )
+    found = decisions(docs, doc_id, text, **options).select("__i", "__h", "keep_id", "group_size")
     keyed = docs.select(F.struct("*").alias("__row"), *document_keys(doc_id, text))
     rows = keyed.join(found, ["__i", "__h"])
     first = F.row_number().over(W.partitionBy("__i", "__h").orderBy(F.lit(1))) == 1
@@ -116,3 +122,20 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
         *[F.col("__row")[c].alias(c) for c in docs.columns if c != "exact"],
         F.struct("keep_id", "group_size", kept.alias("kept")).alias("exact"),
     )
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps. Copies leave by an anti-join with their keys,
+    which is broadcast up to a checked size, so texts are not shuffled; only rows whose id and text
+    repeat are numbered."""
+    found = cut_lineage(decisions(docs, doc_id, text, **options))
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    keyed = docs.select("*", *document_keys(doc_id, text))
+    gone = found.where(~stays | (F.col("rows") > 1)).select("__i", "__h")
+    out = keyed.join(small_side(gone), ["__i", "__h"], "left_anti").select(*docs.columns)
+    repeated = found.where(stays & (F.col("rows") > 1)).select("__i", "__h")
+    if repeated.isEmpty():
+        return out
+    first = F.row_number().over(W.partitionBy("__i", "__h").orderBy(F.lit(1)))
+    again = keyed.join(small_side(repeated), ["__i", "__h"]).withColumn("__first", first).where("__first = 1")
+    return out.unionByName(again.select(*docs.columns))

@@ -14,11 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import components, whole
+from draftlake.llm.common import components, small_side, whole
 from draftlake.session import cut_lineage
 
-BROADCAST_IDS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -184,11 +182,9 @@ def linked(vids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
 
 def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     """Edges (a, b) between ids of the leaves. Whole sets are built again from the texts of the
-    members, which are found by a join that is broadcast only up to ``BROADCAST_IDS`` ids."""
-    wanted = cut_lineage(members.select("vid").distinct().join(sets.select("vid", "h"), "vid"))
-    keys = wanted.select(F.col("vid").alias("__v"), F.col("h").alias("__h"))
-    if wanted.count() <= BROADCAST_IDS:
-        keys = F.broadcast(keys)
+    members, which are found by a join that is broadcast only up to a checked number of ids."""
+    wanted = members.select("vid").distinct().join(sets.select("vid", "h"), "vid")
+    keys = small_side(wanted.select(F.col("vid").alias("__v"), F.col("h").alias("__h")))
     rows = docs.join(keys, (F.col(doc_id) == F.col("__v")) & (F.xxhash64(text) == F.col("__h")))
     rows = rows.select(F.col("__v").alias("vid"), whole(text).alias("text"))
 
@@ -247,3 +243,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("id").alias("doc_id"), "h", F.col("n").alias("n_shingles"), comp.alias("component_id"),
         (F.col("id").isNull() | (comp == F.col("id"))).alias("kept"),
     )
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``near_components`` keeps: one id per component. The others leave by an
+    anti-join with id and hash of the text, broadcast up to a checked size."""
+    gone = near_components(docs, doc_id, text, settings).where("not kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
+    on = (F.col(doc_id) == F.col("__d")) & (F.xxhash64(text) == F.col("__h"))
+    return docs.join(small_side(gone.distinct()), on, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, licences, near_dedup, packing, pii, quality_model, quality_rules
+from draftlake.llm import chat, exact_dedup, licences, mixing, near_dedup, packing, pii, quality_model, quality_rules, secrets
 from draftlake.llm.common import span_text
 from draftlake.llm.oracles import ORACLES
 
@@ -96,3 +96,19 @@ def op2_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[count(k) for k in pii.BASE], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_credential_links(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.BASE], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op6_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "mix.*")
