@@ -275,7 +275,7 @@ def _counts(rows: DataFrame, column: str) -> dict[int, int]:
     return {int(r[0]): int(r[1]) for r in rows.groupBy(column).count().collect()}
 
 
-def assigned(pieces: DataFrame, capacity: int, *, groups: int = 300, small: int = 3, part_rows: int = 50_000) -> DataFrame:
+def assigned(pieces: DataFrame, capacity: int, *, groups: int = 300, small: int = 3, part_rows: int = 1000) -> DataFrame:
     """Pieces (doc_id, piece, length, ...) with ``sequence_id``. Lengths over ``capacity / small`` are
     large. Broadcast: the runs of configurations, at most (groups + 1)^2 and, for the rest,
     a bounded number per pair of length and room."""
@@ -283,9 +283,9 @@ def assigned(pieces: DataFrame, capacity: int, *, groups: int = 300, small: int
     for n, k in _counts(pieces, "length").items():
         counts[n] = k
     total = int(counts.sum())
-    salts = max(1, -(-int(counts.max()) // part_rows)) if total else 1
     order = ["doc_id", "piece", "start", "ids_crc32"]
     cuts = linear_groups(counts, capacity // small, groups)
+    salts = max(1, -(-max([int(counts.max()), *(n for *_, n in cuts)]) // part_rows)) if total else 1
     group_of = np.full(capacity + 1, -1, np.int64)
     for g, (size, low, _) in enumerate(cuts):
         group_of[low:size + 1] = g
@@ -301,10 +301,10 @@ def assigned(pieces: DataFrame, capacity: int, *, groups: int = 300, small: int
         sequences += times
     table = F.lit(group_of.tolist())
     keyed = pieces.withColumn("group", F.element_at(table, F.col("length").cast("int") + 1))
-    large = cut_lineage(_placed(ranked(keyed, "group", order, salts), slots, "group").drop("rank"))
+    large = cut_lineage(_placed(ranked(keyed.where("group >= 0"), "group", order, salts), slots, "group").drop("rank"))
     open_ = large.where("sequence_id >= 0").groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).cast("bigint").alias("room"))
     open_ = cut_lineage(ranked(open_, "room", ["sequence_id"], salts))
-    rest = large.where("sequence_id < 0").drop("sequence_id")
+    rest = keyed.where("group < 0").unionByName(large.where("sequence_id < 0").drop("sequence_id"))
     fill, begun = Slots(), Slots()  # places of lengths in numbered bins; bins of rooms
     bins = 0
     for room, times, put in sorted(best_fit(_counts(rest, "length"), _counts(open_, "room"), capacity), key=lambda x: (x[0], x[2])):
