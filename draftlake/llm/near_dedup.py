@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -21,11 +21,15 @@ from draftlake.session import cut_lineage
 @dataclass(frozen=True)
 class Settings:
     """A pair of similarity s shares a node ``depth`` levels deep in one tree with s**depth, so the
-    trees together miss it with (1 - s**depth)**trees: 0.0006 at 0.85, 0.00001 at 0.9. Larger nodes
-    branch on by two coordinates at a time, which keeps pairs at the threshold alive (on average 1.7
-    of two branches hold both), or by one where a node does not shrink. Nodes that are still larger
-    than ``limit`` after ``levels`` more levels are compared in all pairs of blocks, so nothing is
-    dropped."""
+    trees together miss it with (1 - s**depth)**trees: 0.0006 at 0.85, 0.00001 at 0.9.
+
+    ``seeds`` trees give first links and components. Then nodes of all trees are compared where they
+    hold several components: up to ``limit`` sets at once; in larger nodes whose largest component
+    leaves at most half the limit outside, these against blocks of that component, so the work stays
+    linear in a large group of copies; other large nodes branch on by two coordinates at a time, which
+    keeps pairs at the threshold alive (on average 1.7 of two branches hold both), or by one where a
+    node does not shrink. Nodes that are still large after ``levels`` more levels are compared in all
+    pairs of blocks, so nothing is dropped."""
 
     percent: int = 85
     words: int = 5
@@ -34,6 +38,7 @@ class Settings:
     limit: int = 256
     levels: int = 8
     spare: int = 24
+    seeds: int = 2
 
     @property
     def coordinates(self) -> int:
@@ -89,32 +94,56 @@ def sketched(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     return out.withColumn("id", F.col("id").cast("bigint"))
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    """Nodes of two sets or more: (node, size, sum, xor); equal sums tell nodes of equal members."""
+def _nodes(sets: DataFrame, s: Settings, trees: range) -> DataFrame:
+    """(node, all other columns but the sketch) of every set in the given trees, ``depth`` levels deep."""
+    first = F.array(*[F.xxhash64(F.lit(t), *[F.col("sketch")[t * s.depth + k] for k in range(s.depth)]) for t in trees])
+    return sets.select(*[c for c in sets.columns if c != "sketch"], F.explode(first).alias("node"))
+
+
+def seed_leaves(sets: DataFrame, s: Settings) -> DataFrame:
+    """(leaf, vid) of the first trees: nodes, and large nodes in blocks by a hash. Links this misses
+    are found later."""
+    nodes = _nodes(sets.select("vid", "sketch"), s, range(s.seeds))
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    block = F.pmod(F.xxhash64("vid", F.lit(1)), F.ceil(F.col("size") / s.limit))
+    return nodes.join(sizes, "node").select(F.xxhash64("node", block).alias("leaf"), "vid")
+
+
+def _described(nodes: DataFrame) -> DataFrame:
+    """Nodes of several components: (node, size, major, major_size, total, mixed). ``major`` is the
+    largest component; equal sums and xors tell nodes of equal members."""
     key = F.xxhash64("vid")
-    return nodes.groupBy("node").agg(
-        F.count("*").alias("size"), F.sum(key.cast("decimal(38,0)")).alias("total"), F.bit_xor(key).alias("mixed")
-    ).where("size > 1")
+    each = nodes.groupBy("node", "comp").agg(
+        F.count("*").alias("n"), F.sum(key.cast("decimal(38,0)")).alias("t"), F.bit_xor(key).alias("x")
+    )
+    return each.groupBy("node").agg(
+        F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("major"),
+        F.max("n").alias("major_size"), F.sum("t").alias("total"), F.bit_xor("x").alias("mixed"),
+    ).where("comps > 1")
 
 
 def leaves(sets: DataFrame, s: Settings) -> DataFrame:
-    """(leaf, vid, sibling blocks aside) Members of the small nodes of all trees, each distinct set of
-    members once. ``sets`` has vid and sketch."""
-    first = F.array(*[
-        F.xxhash64(F.lit(t), *[F.col("sketch")[t * s.depth + k] for k in range(s.depth)]) for t in range(s.trees)
-    ])
-    nodes = sets.select("vid", F.explode(first).alias("node")).withColumn("above", F.lit(None).cast("bigint"))
-    small = []
+    """(leaf, vid) Members to compare, of the nodes of all trees that hold several components; nodes of
+    equal members once. ``sets`` has vid, comp and sketch."""
+    nodes = _nodes(sets.select("vid", "comp", "sketch"), s, range(s.trees)).withColumn("above", F.lit(None).cast("bigint"))
+    out = []
     for level in range(s.levels + 1):
-        sizes = cut_lineage(_sized(nodes))
-        fit = sizes.where(F.col("size") <= s.limit).groupBy("size", "total", "mixed").agg(F.min("node").alias("node"))
-        small.append(cut_lineage(nodes.join(fit.select("node"), "node").select(F.col("node").alias("leaf"), "vid")))
-        big = sizes.where(F.col("size") > s.limit).select("node", "size")
-        if big.isEmpty():
+        one = _described(nodes).groupBy("size", "total", "mixed").agg(F.min(F.struct("node", "major", "major_size")).alias("m"))
+        named = cut_lineage(one.select("size", F.col("m.node").alias("node"), "m.major", "m.major_size"))
+        here = cut_lineage(nodes.join(named, "node"))
+        small, outside = F.col("size") <= s.limit, F.col("size") - F.col("major_size")
+        dense = ~small & (outside * 2 <= s.limit)
+        out.append(here.where(small).select(F.col("node").alias("leaf"), "vid"))
+        blocks = F.ceil(F.col("major_size") / (s.limit - outside)).cast("int")
+        own = F.array(F.pmod(F.xxhash64("vid", F.lit(2)), blocks).cast("int"))
+        every = F.sequence(F.lit(0), blocks - 1)
+        dealt = here.where(dense).withColumn("block", F.explode(F.when(F.col("comp") == F.col("major"), own).otherwise(every)))
+        out.append(dealt.select(F.xxhash64("node", F.lit(-1), "block").alias("leaf"), "vid"))
+        grown = here.where(~small & ~dense)
+        if grown.isEmpty():
             break
-        grown = cut_lineage(nodes.join(big, "node"))
         if level == s.levels:
-            small.append(_block_pairs(grown, s))
+            out.append(_block_pairs(grown, s))
             break
         spare, base = F.lit(s.spare), s.trees * s.depth
         at = lambda j: F.get("sketch", (F.lit(base) + F.pmod(F.xxhash64("node", F.lit(j)), spare)).cast("int"))
@@ -122,12 +151,9 @@ def leaves(sets: DataFrame, s: Settings) -> DataFrame:
         shrinks = F.col("above").isNull() | (F.col("size") < 0.7 * F.col("above"))
         next_ = F.when(shrinks, F.array(branch(0), branch(1))).otherwise(F.array(branch(0)))
         nodes = grown.join(sets.select("vid", "sketch"), "vid").select(
-            "vid", F.col("size").alias("above"), F.explode(next_).alias("node")
+            "vid", "comp", F.col("size").alias("above"), F.explode(next_).alias("node")
         )
-    out = small[0]
-    for x in small[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 def _block_pairs(grown: DataFrame, s: Settings) -> DataFrame:
@@ -183,6 +209,7 @@ def linked(vids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
 def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     """Edges (a, b) between ids of the leaves. Whole sets are built again from the texts of the
     members, which are found by a join that is broadcast only up to a checked number of ids."""
+    members = cut_lineage(members)
     wanted = members.select("vid").distinct().join(sets.select("vid", "h"), "vid")
     keys = small_side(wanted.select(F.col("vid").alias("__v"), F.col("h").alias("__h")))
     rows = docs.join(keys, (F.col(doc_id) == F.col("__v")) & (F.xxhash64(text) == F.col("__h")))
@@ -193,7 +220,7 @@ def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str,
             yield pd.DataFrame({"vid": part["vid"], "values": [shingles(t, s.words).tobytes() for t in part["text"]]})
 
     found = rows.mapInPandas(build, "vid bigint, values binary")
-    dealt = members.join(found, "vid").repartition("leaf").sortWithinPartitions("leaf", "vid")
+    dealt = members.distinct().join(found, "vid").repartition("leaf").sortWithinPartitions("leaf", "vid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf, vids, sets_, out = None, [], [], []
@@ -230,7 +257,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = cut_lineage(sketched(docs.select(doc_id, text), doc_id, text, s))
     full = rows.where("n > 0 and id is not null")
     classes = cut_lineage(full.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "sketch")).alias("m")).select("s1", "s2", F.col("m.id").alias("vid"), "m.h", "m.sketch"))
-    edges = verified(leaves(classes, s), docs, classes, doc_id, text, s)
+    first = cut_lineage(verified(seed_leaves(classes, s), docs, classes, doc_id, text, s))
+    grouped = classes.join(components(first).withColumnRenamed("component", "comp"), F.col("vid") == F.col("id"), "left")
+    grouped = cut_lineage(grouped.select("vid", "h", "sketch", F.coalesce("comp", "vid").alias("comp")))
+    edges = first.unionByName(verified(leaves(grouped, s), docs, grouped, doc_id, text, s))
     same = full.join(classes.select("s1", "s2", "vid"), ["s1", "s2"]).select(F.col("id").alias("a"), F.col("vid").alias("b"))
     several = same.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
     extra = same.join(several.select("a"), "a")

@@ -66,7 +66,7 @@ def chains(seed, groups=6, size=25):
 def test_near_components_against_brute_force(spark):
     texts = chains(5)
     sets, want = brute_near(texts)
-    for s in (near_dedup.Settings(), near_dedup.Settings(limit=6, levels=3), near_dedup.Settings(limit=4, levels=0)):
+    for s in (near_dedup.Settings(), near_dedup.Settings(limit=6, levels=2), near_dedup.Settings(limit=4, levels=0)):
         got = {r.doc_id: r for r in near_dedup.near_components(frames.frame(spark, texts), settings=s).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
