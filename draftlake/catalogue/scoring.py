@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from draftlake.catalogue.registry import Tables, query
 from draftlake.operators import scoring as op
+from draftlake.session import cut_lineage
 
 NAMES = ["log_chars", "line_share", "digit_share"]
 # A small hand-made model, so that scoring has an exact SQL form.
@@ -65,7 +66,7 @@ def classifier(t: Tables) -> DataFrame:
     """ML-1, ML-2, ML-3, ML-6: quality labels learned, calibrated on every second document, and
     reported per source. A fitted model has no SQL form; the tests compare it with numpy."""
     f = doc_features(t)
-    labelled = f.join(t.labels, "doc_id").withColumn("quality", F.concat(F.lit("q"), "quality"))
+    labelled = cut_lineage(f.join(t.labels, "doc_id").withColumn("quality", F.concat(F.lit("q"), "quality")))
     train, held = labelled.filter("doc_id % 2 = 0"), labelled.filter("doc_id % 2 = 1")
     model = op.fit_classifier(train, "x", "quality", NAMES, calibration=held)
     report = op.train_eval_report(train, held, "x", "quality", "source", model)

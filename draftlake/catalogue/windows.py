@@ -116,26 +116,25 @@ def edit_lineage(t: Tables) -> DataFrame:
 @query(
     "change_replay",
     """
-    WITH o AS (SELECT user_id AS entity, event_id AS seq, '/' || CAST(json_extract(props, '$.k') AS VARCHAR) AS path, event_type AS t, CAST(value AS VARCHAR) AS value
-      FROM events WHERE event_type IN ('click', 'view', 'error')),
-    bad AS (SELECT DISTINCT user_id AS entity FROM events WHERE event_type = 'signup' AND value > 200),
-    l AS (SELECT * FROM o WHERE entity NOT IN (SELECT entity FROM bad) QUALIFY row_number() OVER (PARTITION BY entity, path ORDER BY seq DESC) = 1)
-    SELECT entity, path, event_id AS seq, event_type FROM l JOIN events ON event_id = l.seq WHERE t <> 'error'
+    WITH o AS (SELECT user_id || '-' || coalesce(CAST(json_extract(props, '$.k') AS VARCHAR), '') AS entity, event_id AS seq, event_type AS t FROM events),
+    s AS (SELECT *, last_value(CASE WHEN t = 'error' THEN -1 WHEN t <> 'signup' THEN seq END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v,
+      last_value(CASE WHEN t = 'error' THEN -1 WHEN t <> 'signup' THEN seq END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY seq) AS after FROM o),
+    e AS (SELECT entity, min(CASE WHEN t IN ('signup', 'error') AND coalesce(v, -1) = -1 THEN seq END) AS refused_at, max_by(after, seq) AS v, max_by(v, seq) FILTER (t = 'signup') AS w FROM s GROUP BY entity)
+    SELECT entity, refused_at, CASE WHEN refused_at IS NOT NULL THEN '{}' ELSE '{' || concat_ws(',', CASE WHEN v > 0 OR v = 0 THEN '"v":' || v END, CASE WHEN w IS NOT NULL THEN '"w":' || w END) || '}' END AS doc FROM e
     """,
 )
 def change_replay(t: Tables) -> DataFrame:
-    """WIN-5: events as a change log per user; errors remove a path, an impossible test refuses a user."""
-    e = t.events
-    kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "test").otherwise("add")
-    path = F.concat(F.lit("/"), F.when(F.col("event_type") == "signup", F.lit("none")).otherwise(F.get_json_object("props", "$.k")))
-    ops = e.filter((F.col("event_type") != "purchase") & ((F.col("event_type") != "signup") | (F.col("value") > 200))).select(
-        F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), kind.alias("op"), path.alias("path"),
-        F.lit(None).cast("string").alias("from_path"), F.concat_ws(":", "event_id", "event_type").alias("value"),
+    """WIN-5: events as a change log per user and key: most set a member, a signup copies it, an error
+    removes it; copying or removing an absent member refuses the log."""
+    kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "copy").otherwise("add")
+    ops = t.events.select(
+        F.concat_ws("-", "user_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("entity"), F.col("event_id").alias("seq"),
+        kind.alias("op"), F.when(kind == "copy", "/w").otherwise("/v").alias("path"), F.when(kind == "copy", "/v").alias("from_path"),
+        F.when(kind == "add", F.col("event_id").cast("string")).alias("value"),
     )
-    base = ops.filter(F.lit(False)).select("entity", "path", "value")
-    state, _ = op.replay_changes(base, ops)
-    v = F.split("value", ":")
-    return state.select("entity", "path", v[0].cast("bigint").alias("seq"), v[1].alias("event_type"))
+    base = ops.filter(F.lit(False)).select("entity", F.lit("{}").alias("doc"))
+    state, refused = op.replay_changes(base, ops)
+    return state.join(refused.withColumnRenamed("seq", "refused_at"), "entity", "left").select("entity", "refused_at", "doc")
 
 
 @query(
@@ -263,15 +262,15 @@ def tail_lists(t: Tables) -> DataFrame:
 @query(
     "last_assumption",
     """
-    WITH u AS (SELECT l_partkey AS "key", CAST(l_linenumber AS VARCHAR) AS value, l_returnflag AS reason FROM lineitem WHERE l_quantity > 45
+    WITH u AS (SELECT l_partkey AS "key", CAST(l_linenumber AS VARCHAR) AS value, l_returnflag AS reason FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1)
     SELECT coalesce(u."key", p_partkey) AS "key", coalesce(u.value, p_type) AS value, reason, u."key" IS NOT NULL AS used
     FROM u FULL OUTER JOIN part ON p_partkey = u."key"
     """,
 )
 def last_assumption(t: Tables) -> DataFrame:
-    """WIN-13: last large line per part, the part's type as default."""
-    items = t.lineitem.filter("l_quantity > 45").select(
+    """WIN-13: last line per part, the part's type as default."""
+    items = t.lineitem.select(
         F.col("l_partkey").alias("key"), F.col("l_linenumber").cast("string").alias("value"), F.col("l_returnflag").alias("reason"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"),
     )

@@ -36,25 +36,19 @@ def box_iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
+    """Logits, their maximum and the sum of the exponentials are each bound once per row: inside
+    lambdas Spark shares no common parts."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    scaled = F.transform(logits, lambda z: z / t)
-    exps = F.transform(scaled, lambda z: F.exp(z - F.array_max(scaled)))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda e: e / total)
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    exps = lambda z: once(F.array_max(z), lambda m: F.transform(z, lambda v: F.exp((v - m) / t)))
+    share = lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(e, lambda x: x / s))
+    return once(logits, lambda z: once(exps(z), share))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def euclid(a: Column, b: Column) -> Column:
-    return F.sqrt(
-        F.aggregate(
-            F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v
-        )
-    )
-
-
 def significant(c: Column, digits: int = 12) -> Column:
     """Double rounded to significant digits; removes noise of float arithmetic before hashing."""
     return F.format_string(f"%.{digits - 1}e", c).cast("double")

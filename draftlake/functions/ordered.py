@@ -2,8 +2,8 @@
 
 A plain window keeps all rows of one key in one task. Here every key is cut into blocks of the
 ordering value; windows run inside (key, block), one small summary row per block carries the state
-across blocks, and the carry is joined back on (key, block), for which the large side is already
-partitioned. Results equal those of the plain window.
+across blocks, and the carry is joined back on (key, block). Key and block are one struct column,
+which compares null with null, so windows and join share one exchange of the large side. Results equal those of the plain window.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
+PART = "__part"
 
 
 def magnitude_block(value: Column, per_octave: int = 64) -> Column:
@@ -30,17 +31,11 @@ def time_block(ts: Column, unit: str = "DAY") -> Column:
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe many-to-one join that also works when both sides come from the same frame.
-    The right side has one row per key; left rows of a hot key are split by adaptive skew join."""
-    renamed = {k: f"__key{i}" for i, k in enumerate(keys)}
-    r = right.select(
-        *[F.col(k).alias(a) for k, a in renamed.items()],
-        *[F.col(c) for c in right.columns if c not in renamed],
-    )
-    on = F.lit(True)
-    for i, (k, a) in enumerate(renamed.items()):
-        eq = F.col(k).eqNullSafe(F.col(a))
-        on = eq if i == 0 else on & eq
-    return left.join(r, on, how).drop(*renamed.values())
+    The right side has one row per key; left rows of a hot key are split by adaptive skew join. The
+    keys are compared as one struct, in which null equals null."""
+    key = F.struct(*[F.col(k) for k in keys])
+    r = right.select(key.alias("__right"), *[F.col(c) for c in right.columns if c not in keys])
+    return left.withColumn("__left", key).join(r, F.col("__left") == F.col("__right"), how).drop("__left", "__right")
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -75,7 +70,7 @@ def scan(
         "m": max_before or {},
         "l": last_seen or {},
     }
-    marked = df.withColumn(BLOCK, block)
+    marked = df.withColumn(BLOCK, block).withColumn(PART, F.struct(*keys, BLOCK))
     vals = {f"__{kind}_{n}": e for kind, d in specs.items() for n, e in d.items()}
     marked = marked.withColumns(vals)
     rank = F.struct(*[F.col(o) for o in order])
@@ -92,7 +87,7 @@ def scan(
         sums.append(F.max_by(f"__l_{n}", seen).alias(f"__c_l_{n}"))
     per_key = W.partitionBy(*keys).orderBy(BLOCK)
     before = per_key.rowsBetween(W.unboundedPreceding, -1)
-    carry_cols = [F.col(c) for c in parts]
+    carry_cols = [F.struct(*parts).alias(PART)]
     for n in specs["p"]:
         carry_cols.append(F.lag(f"__c_p_{n}").over(per_key).alias(f"__c_p_{n}"))
     for n in specs["s"]:
@@ -103,7 +98,7 @@ def scan(
         carry_cols.append(F.last(f"__c_l_{n}", ignorenulls=True).over(before).alias(f"__c_l_{n}"))
     carry = marked.groupBy(*parts).agg(*sums).select(*carry_cols).alias("c")
 
-    local = W.partitionBy(*parts).orderBy(*order)
+    local = W.partitionBy(PART).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     prior = local.rowsBetween(W.unboundedPreceding, -1)
     inner = {}
@@ -116,8 +111,8 @@ def scan(
         inner[f"__m_{n}"] = F.max(f"__m_{n}").over(prior)
     for n in specs["l"]:
         inner[f"__l_{n}"] = F.last(f"__l_{n}", ignorenulls=True).over(upto)
-    left = marked.select(*cols, BLOCK, *[F.col(v) for v in vals])
-    left = left.select(*cols, BLOCK, *[e.alias(n) for n, e in inner.items()]).alias("x")
+    left = marked.select(*cols, BLOCK, PART, *[F.col(v) for v in vals])
+    left = left.select(*cols, BLOCK, PART, *[e.alias(n) for n, e in inner.items()]).alias("x")
 
     out = [F.col(f"x.{c}") for c in cols]
     if keep_block:
@@ -131,11 +126,7 @@ def scan(
         out.append(F.greatest(F.col(f"x.__m_{n}"), F.col(f"c.__c_m_{n}")).alias(n))
     for n in specs["l"]:
         out.append(F.coalesce(F.col(f"x.__l_{n}"), F.col(f"c.__c_l_{n}")).alias(n))
-    on = F.lit(True)
-    for i, k in enumerate(parts):
-        eq = F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}"))
-        on = eq if i == 0 else on & eq
-    return left.join(carry, on, "left").select(*out)
+    return left.join(carry, F.col(f"x.{PART}") == F.col(f"c.{PART}"), "left").select(*out)
 
 
 def numbered(
@@ -164,20 +155,20 @@ def gap_islands(
     keys, order, cols = list(keys), list(order), [c for c in df.columns if c != BLOCK]
     parts = [*keys, BLOCK]
     spot = F.struct(*[F.col(o) for o in order])
-    local = W.partitionBy(*parts).orderBy(*order)
+    local = W.partitionBy(PART).orderBy(*order)
     boxed = F.lag(F.struct(F.col("__v").alias("v"))).over(local)
-    marked = df.withColumn(BLOCK, block).withColumn("__v", value).withColumn("__lag", boxed)
+    marked = df.withColumn(BLOCK, block).withColumn(PART, F.struct(*parts)).withColumn("__v", value).withColumn("__lag", boxed)
     cut = F.when(F.coalesce(same(F.col("__lag.v")), F.lit(False)), 0).otherwise(1)
     judged = marked.withColumn("__cut", F.when(F.col("__lag").isNull(), 0).otherwise(cut).cast("bigint"))
     rows = judged.select(
-        *cols, BLOCK, F.sum("__cut").over(local.rowsBetween(W.unboundedPreceding, 0)).alias("__in"),
+        *cols, PART, F.sum("__cut").over(local.rowsBetween(W.unboundedPreceding, 0)).alias("__in"),
         F.row_number().over(local).alias("__rn"),
     )
-    blocks = judged.groupBy(*parts).agg(
+    blocks = judged.groupBy(PART).agg(
         F.min_by(F.struct(*[F.col(c) for c in cols if c not in keys]), spot).alias("__first"),
         F.max_by(F.struct(F.col("__v").alias("v")), spot).alias("__last"),
         F.sum("__cut").alias("__cuts"), F.count(F.lit(1)).alias("__rows"),
-    )
+    ).select(f"{PART}.*", "__first", "__last", "__cuts", "__rows")
     per_key = W.partitionBy(*keys).orderBy(BLOCK)
     before = per_key.rowsBetween(W.unboundedPreceding, -1)
     seen = blocks.select(
@@ -185,15 +176,15 @@ def gap_islands(
     )
     opens = F.when(F.coalesce(same(F.col("__lag.v")), F.lit(False)), 0).otherwise(1).cast("bigint")
     carry = seen.withColumn("__open", opens).select(
-        *parts, "__open",
+        F.struct(*parts).alias("__right"), "__open",
         F.coalesce(F.sum(F.col("__cuts") + F.col("__open")).over(before), F.lit(0)).alias("__base"),
         F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__above"),
     )
     number = F.col("__base") + F.col("__open") + F.col("__in")
-    out = attach(rows, carry, parts).withColumn(name, number)
+    out = rows.join(carry, F.col(PART) == F.col("__right")).withColumn(name, number)
     if rank is not None:
         out = out.withColumn(rank, F.col("__above") + F.col("__rn"))
-    return out.drop(BLOCK, "__in", "__rn", "__open", "__base", "__above")
+    return out.drop(PART, "__right", "__in", "__rn", "__open", "__base", "__above")
 
 
 def weighted_median(

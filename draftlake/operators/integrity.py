@@ -348,7 +348,7 @@ def verify_manifest(files: DataFrame, pinned: DataFrame, installed: DataFrame |
     )
     per_file = pinned.join(f, ["model", "path"], "left").withColumn("status", status)
     model = per_file.groupBy("model").agg(
-        F.first("revision").alias("revision"),
+        F.max("revision").alias("revision"),
         F.every(F.col("status") == "ok").alias("ok"),
         F.count_if(F.col("status") != "ok").alias("bad_files"),
     )

@@ -19,7 +19,7 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 def list_pages(pages: DataFrame, docs: DataFrame, analysis: DataFrame) -> DataFrame:
     """Pages with their document and, where it exists, their analysis; a user's label wins and
-    clears the review flag. Ordered by document time, document and page index."""
+    clears the review flag. The reader of the result sorts it."""
     d = docs.select(F.col("id").alias("document_id"), "filename", "created_at")
     a = analysis.select(
         F.col("page_id").alias("id"), F.col("label").alias("model_label"), "confidence",
@@ -38,7 +38,6 @@ def list_pages(pages: DataFrame, docs: DataFrame, analysis: DataFrame) -> DataFr
             }
         )
         .drop("__review", "__own", "__analysed")
-        .orderBy("created_at", "document_id", "idx")
     )
 
 

@@ -147,7 +147,8 @@ def fuse_predictions(df: DataFrame, classes: Sequence[str]) -> DataFrame:
     )
     out = df.withColumn("__raw", raw)
     total = F.aggregate("__raw", F.lit(0.0), lambda s, v: s + v)
-    out = out.withColumn("__comb", F.transform("__raw", lambda v: v / total))
+    shared = F.transform(F.array(total), lambda t: F.transform("__raw", lambda v: v / t))
+    out = out.withColumn("__comb", F.element_at(shared, 1))
     top = F.array_max("__comb")
     other_is_same = F.coalesce(F.col("label") == F.col("other_class"), F.lit(False))
     disagree = ~other_is_same & (F.col("confidence") >= CONFIDENT) & (c >= CONFIDENT)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,65 +90,136 @@ def validity_history(df: DataFrame, keys: Sequence[str], since: str, row_id: str
 
 def edit_lineage(versions: DataFrame, edits: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     """Edits between a root and each approved version, (version_id, depth, edit…) with depth 1 the
-    newest. Versions equal to their root or already recorded are skipped. One join per level of the
-    chain; only unfinished chains go on."""
+    newest. Versions equal to their root or already recorded are skipped.
+
+    Ancestors are found by doubling: after k rounds every version knows those up to 2^k edits away,
+    so a chain takes the logarithm of its length. Each (version, ancestor) is kept once, so edits
+    that run in a circle end too; their chain is listed once around."""
     start = versions.filter((F.col("status") == "approved") & (F.col("id") != F.col("root_id")))
     if recorded is not None:
         start = start.join(recorded.select(F.col("version_id").alias("id")), "id", "left_anti")
-    front = start.select(F.col("id").alias("version_id"), "root_id", F.col("id").alias("__at"))
-    front, depth, found = cut_lineage(front), 0, None
-    e = edits.select("from_version", F.col("to_version").alias("__at"), "edit_id")
-    while not front.isEmpty():
-        depth += 1
-        step = cut_lineage(front.join(e, "__at"))
-        part = step.select("version_id", F.lit(depth).alias("depth"), "edit_id", "from_version", F.col("__at").alias("to_version"))
-        found = part if found is None else found.unionByName(part)
-        front = step.filter(F.col("from_version") != F.col("root_id")).select(
-            "version_id", "root_id", F.col("from_version").alias("__at")
-        )
-    if found is None:
-        return e.select(F.lit(None).cast("string").alias("version_id"), F.lit(0).alias("depth"), "edit_id", "from_version", F.col("__at").alias("to_version")).filter(F.lit(False))
-    return found
+    known = start.select(F.col("id").alias("version_id"), "root_id", F.col("id").alias("at"), F.lit(0).alias("dist")).distinct()
+    jump = edits.select(F.col("to_version").alias("at"), F.col("from_version").alias("up")).distinct()
+    known, jump, step, count = cut_lineage(known), cut_lineage(jump), 1, -1
+    while (now := known.count()) != count:
+        count = now
+        far = known.join(jump, "at").select("version_id", "root_id", F.col("up").alias("at"), (F.col("dist") + step).alias("dist"))
+        known = cut_lineage(known.unionByName(far).groupBy("version_id", "root_id", "at").agg(F.min("dist").alias("dist")))
+        more = jump.join(jump.select(F.col("at").alias("up"), F.col("up").alias("top")), "up").select("at", F.col("top").alias("up"))
+        jump, step = cut_lineage(more.distinct()), step * 2
+    roots = known.filter(F.col("at") == F.col("root_id")).select("version_id", "root_id", F.col("dist").alias("__end"))
+    inside = known.join(roots, ["version_id", "root_id"], "left").filter(F.col("__end").isNull() | (F.col("dist") < F.col("__end")))
+    e = edits.select("from_version", F.col("to_version").alias("at"), "edit_id")
+    return inside.join(e, "at").select(
+        "version_id", (F.col("dist") + 1).alias("depth"), "edit_id", "from_version", F.col("at").alias("to_version")
+    )
+
+
+def _steps(path: str) -> list[str]:
+    """Keys of a JSON pointer; the empty pointer and one without a leading slash name no member."""
+    if not path or path[0] != "/":
+        raise ValueError(path)
+    return [k.replace("~1", "/").replace("~0", "~") for k in path[1:].split("/")]
+
+
+def _member(node, key: str, end: bool = False):
+    """Index or key under which a container holds (or, with ``end``, may take) a member."""
+    if isinstance(node, list):
+        at = len(node) if end and key == "-" else int(key)
+        if not 0 <= at < len(node) + end:
+            raise IndexError(key)
+        return at
+    if not isinstance(node, dict) or (not end and key not in node):
+        raise KeyError(key)
+    return key
+
+
+def _apply(doc, op: str, path: str, source: str | None, value) -> None:
+    """One operation on a document, in place; raises where it does not apply."""
+
+    def holder(pointer: str):
+        *way, last = _steps(pointer)
+        node = doc
+        for k in way:
+            node = node[_member(node, k)]
+        return node, last
+
+    def taken(pointer: str, away: bool):
+        node, last = holder(pointer)
+        at = _member(node, last)
+        return node.pop(at) if away else node[at]
+
+    def put(new) -> None:
+        node, last = holder(path)
+        at = _member(node, last, end=True)
+        if isinstance(node, list):
+            node.insert(at, new)
+        else:
+            node[at] = new
+
+    if op == "add":
+        put(value)
+    elif op == "remove":
+        taken(path, True)
+    elif op == "replace":
+        node, last = holder(path)
+        node[_member(node, last)] = value
+    elif op == "move":
+        put(taken(source, True))
+    elif op == "copy":
+        put(json.loads(json.dumps(taken(source, False))))
+    elif op != "test" or taken(path, False) != value:
+        raise ValueError(op)
 
 
 def replay_changes(base: DataFrame, ops: DataFrame, entity: str = "entity") -> tuple[DataFrame, DataFrame]:
-    """(state, refused entities) after an ordered log of add, replace, remove, move, copy and test.
-
-    ``base`` has entity, path, value; ``ops`` entity, seq, op, path, from_path, value. The last write
-    per path wins; a later write to or removal of a parent path drops what was below it. A log with a
-    failing test is refused whole. A move or copy reads the value its source had then, which must
-    come from a plain write (logs that chain moves are split by the caller).
-    """
-    writes = ops.filter(F.col("op").isin("add", "replace")).select(entity, "path", "seq", "value", F.lit(False).alias("gone"))
-    start = base.select(entity, "path", F.lit(-1).cast("bigint").alias("seq"), "value", F.lit(False).alias("gone"))
-    removes = ops.filter("op = 'remove'").select(entity, "path", "seq", F.lit(None).cast("string").alias("value"), F.lit(True).alias("gone"))
-    plain = start.unionByName(writes).unionByName(removes)
-    reads = ops.filter(F.col("op").isin("move", "copy", "test")).select(
-        entity, F.when(F.col("op") == "test", F.col("path")).otherwise(F.col("from_path")).alias("path"), "seq",
-        F.col("value").alias("want"), "op", F.col("path").alias("to_path"),
-    )
-    timeline = plain.withColumns({"want": F.lit(None).cast("string"), "op": F.lit(None).cast("string"), "to_path": F.lit(None).cast("string")}).unionByName(
-        reads.withColumns({"value": F.lit(None).cast("string"), "gone": F.lit(None).cast("boolean")})
-    )
-    state = F.when(F.col("gone").isNotNull(), F.struct("value", "gone"))
-    seen = scan(timeline, [entity, "path"], ["seq"], F.floor(F.col("seq") / 4096).cast("bigint"), last_seen={"at": state})
-    answered = seen.filter(F.col("op").isNotNull())
-    have = F.when(~F.col("at.gone"), F.col("at.value"))
-    missing = F.col("at").isNull() | F.col("at.gone")
-    bad = answered.filter(missing | ((F.col("op") == "test") & ~have.eqNullSafe(F.col("want")))).select(entity).distinct()
-    carried = answered.filter("op <> 'test'").select(entity, F.col("to_path").alias("path"), "seq", have.alias("value"), F.lit(False).alias("gone"))
-    left = answered.filter("op = 'move'").select(entity, "path", "seq", F.lit(None).cast("string").alias("value"), F.lit(True).alias("gone"))
-    events = plain.unionByName(carried).unionByName(left).join(bad, entity, "left_anti")
-    last = events.groupBy(entity, "path").agg(F.max_by(F.struct("value", "gone"), F.col("seq")).alias("s"), F.max("seq").alias("seq"))
-    # parents written or removed later than the value below them
-    parts = F.split("path", "/")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    up = last.filter("not s.gone").select(entity, "path", "seq", F.explode(parents).alias("parent")).filter("parent <> path")
-    top = last.select(entity, F.col("path").alias("parent"), F.col("seq").alias("pseq"))
-    buried = up.join(top, [entity, "parent"]).filter("pseq > seq").select(entity, "path").distinct()
-    alive = last.filter("not s.gone").join(buried, [entity, "path"], "left_anti")
-    kept = base.join(bad, entity, "left_semi").select(entity, "path", "value")
-    return alive.select(entity, "path", F.col("s.value").alias("value")).unionByName(kept), bad
+    """(state, refused) after the ordered change log of each document: (entity, doc) and
+    (entity, seq of the operation that did not apply).
+
+    ``base`` has entity and doc (JSON text), ``ops`` entity, seq, op, path, from_path and value (JSON
+    text); an entity without base starts as an empty object. Operations are add, remove, replace,
+    move, copy and test with JSON pointers; list members shift, moves and copies take what lies below.
+    A log with an operation that does not apply is refused whole and leaves its base as it was.
+
+    Every operation depends on the document the ones before it left, so a log is one ordered pass:
+    rows are dealt by entity and sorted, and a task holds one document at a time, never a log."""
+    rows = base.select(
+        F.col(entity).cast("string").alias("e"), F.lit(0).alias("late"), F.lit(None).cast("bigint").alias("seq"),
+        F.lit("base").alias("op"), F.lit("").alias("path"), F.lit(None).cast("string").alias("from_path"), F.col("doc").alias("value"),
+    ).unionByName(ops.select(
+        F.col(entity).cast("string").alias("e"), F.lit(1).alias("late"), F.col("seq").cast("bigint").alias("seq"), "op", "path", "from_path", "value",
+    ))
+    dealt = rows.repartition("e").sortWithinPartitions("e", "late", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before, doc, stopped, out = None, "{}", {}, None, []
+
+        def close() -> None:
+            if now is not None:
+                text = before if stopped is not None else json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                out.append((now[0], text, stopped))
+
+        for part in batches:
+            for e, seq, op, path, source, value in zip(
+                part["e"], part["seq"], part["op"], part["path"], part["from_path"], part["value"], strict=True
+            ):
+                if now is None or now[0] != e:
+                    close()
+                    now, before, doc, stopped = (e,), "{}", {}, None
+                if op == "base":
+                    before, doc = value, json.loads(value)
+                elif stopped is None:
+                    try:
+                        _apply(doc, op, path, source, None if value is None else json.loads(value))
+                    except (KeyError, IndexError, ValueError, TypeError):
+                        stopped = int(seq)
+            yield pd.DataFrame(out, columns=["e", "doc", "seq"]).astype({"seq": "Int64"})
+            out = []
+        close()
+        yield pd.DataFrame(out, columns=["e", "doc", "seq"]).astype({"seq": "Int64"})
+
+    done = cut_lineage(dealt.mapInPandas(run, "e string, doc string, seq bigint"))
+    return done.select(F.col("e").alias(entity), "doc"), done.filter("seq is not null").select(F.col("e").alias(entity), "seq")
 
 
 def best_source_per_level(results: DataFrame) -> DataFrame:

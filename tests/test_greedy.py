@@ -1,3 +1,4 @@
+import json
 """Set-based greedy operators against plain sequential loops on random data with a hot group."""
 
 import math
@@ -87,18 +88,40 @@ def test_chains_with_cycle(spark):
     assert {r.status for r in joins.fallback_chain(df).filter("name = 'x'").collect()} == {"missing"}
 
 
+DOC = {"a": 1, "b": {"c": [1, 2, 3]}, "d/e": "s", "f~g": "t"}
+PATCHES = [  # operations (op, path, from, value) and the document after them; None: refused
+    ([("add", "/x", None, 5)], {**DOC, "x": 5}),
+    ([("add", "/b/c/1", None, 9)], {**DOC, "b": {"c": [1, 9, 2, 3]}}),
+    ([("add", "/b/c/-", None, 4)], {**DOC, "b": {"c": [1, 2, 3, 4]}}),
+    ([("remove", "/b/c/0", None, None)], {**DOC, "b": {"c": [2, 3]}}),
+    ([("replace", "/d~1e", None, "x"), ("replace", "/f~0g", None, "y")], {**DOC, "d/e": "x", "f~g": "y"}),
+    ([("move", "/x", "/a", None), ("move", "/b/a", "/x", None)], {"b": {"c": [1, 2, 3], "a": 1}, "d/e": "s", "f~g": "t"}),
+    ([("copy", "/z", "/b", None), ("remove", "/z/c/2", None, None)], {**DOC, "z": {"c": [1, 2]}}),
+    ([("test", "/b/c/2", None, 3), ("move", "/q", "/b", None)], {"a": 1, "q": {"c": [1, 2, 3]}, "d/e": "s", "f~g": "t"}),
+    *[([("replace", "/a", None, 99), bad], None) for bad in [
+        ("replace", "/missing", None, 1), ("remove", "/missing", None, None), ("remove", "/b/c/7", None, None), ("test", "/a", None, 2),
+        ("add", "a", None, 1), ("add", "", None, 1), ("frobnicate", "/a", None, None), ("add", "/b/c/x", None, 1), ("copy", "/y", "/missing", None),
+    ]],
+]
+
+
 def test_replay(spark):
-    base = spark.createDataFrame([("e", "/a", "1"), ("e", "/b/c", "2"), ("f", "/a", "1")], "entity string, path string, value string")
-    ops = spark.createDataFrame(
-        [
-            ("e", 1, "replace", "/a", None, "9"), ("e", 2, "test", "/a", None, "9"), ("e", 3, "move", "/d", "/a", None), ("e", 4, "remove", "/b", None, None),
-            ("e", 5, "copy", "/x", "/d0", None), ("f", 1, "replace", "/a", None, "5"), ("f", 2, "test", "/a", None, "6"),
-        ],
-        "entity string, seq bigint, op string, path string, from_path string, value string",
-    )
-    state, bad = windows.replay_changes(base, ops.filter("not (entity = 'e' and seq = 5)"))
-    assert {(r.entity, r.path, r.value) for r in state.collect()} == {("e", "/d", "9"), ("f", "/a", "1")}
-    assert [r.entity for r in bad.collect()] == ["f"]
+    dump = lambda v: None if v is None else json.dumps(v)
+    names = [f"e{i}" for i in range(len(PATCHES))]
+    base = spark.createDataFrame([(n, json.dumps(DOC)) for n in names], "entity string, doc string")
+    ops = [(n, k, o, p, f, dump(v)) for n, (log, _) in zip(names, PATCHES) for k, (o, p, f, v) in enumerate(log)] + [("new", 0, "add", "/k", None, "1")]
+    state, refused = windows.replay_changes(base, spark.createDataFrame(ops, "entity string, seq bigint, op string, path string, from_path string, value string"))
+    got = {r.entity: json.loads(r.doc) for r in state.collect()}
+    assert got == {n: DOC if want is None else want for n, (_, want) in zip(names, PATCHES)} | {"new": {"k": 1}}
+    assert {r.entity: r.seq for r in refused.collect()} == {n: 1 for n, (_, want) in zip(names, PATCHES) if want is None}
+
+
+def test_edit_lineage_with_circle(spark):
+    edits = [(f"v{i}", f"v{i + 1}", f"e{i}") for i in range(20)] + [("x", "y", "xy"), ("y", "x", "yx")]
+    df = spark.createDataFrame(edits, "from_version string, to_version string, edit_id string")
+    versions = spark.createDataFrame([("v20", "v3", "approved"), ("v1", "v1", "approved"), ("x", "r", "approved"), ("v9", "v0", "draft")], "id string, root_id string, status string")
+    got = [(r.version_id, r.depth, r.edit_id) for r in windows.edit_lineage(versions, df).collect()]
+    assert sorted(got) == sorted([("v20", 20 - i, f"e{i}") for i in range(3, 20)] + [("x", 1, "yx"), ("x", 2, "xy")])
 
 
 def test_reachable(spark):

@@ -93,3 +93,17 @@ def test_fusion(spark):
     assert got["a"].method == "dimensions+stated" and got["a"].value == 0.01 and not got["a"].review
     assert got["b"].conflict and got["b"].value == 0.01 and got["b"].review
     assert got["c"].method == "door_prior" and got["c"].review and not got["c"].conflict
+
+
+def test_one_exchange_of_the_large_side(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+        got = o.scan(df, ["k"], ["v"], F.floor(F.col("v") / 50), running_sum={"r": F.lit(1)})
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 4  # the rows once; block sums, their window, the carry
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

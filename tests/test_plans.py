@@ -63,6 +63,47 @@ def test_open_halls(spark):
     assert rules.open_boundary(rooms, walls.unionByName(closed)).isEmpty()
 
 
+LINE = "struct<kind:string,a:struct<x:double,y:double>,b:struct<x:double,y:double>,center:struct<x:double,y:double>,radius:double,start_deg:double,end_deg:double>"
+FACT = "struct<value:double,unit:string,provenance:array<struct<method:string,confidence:double,source_doc:string,note:string>>,status:string>"
+WALLS = f"plan_id string, id string, level string, centerline {LINE}, thickness_m {FACT}, height_m {FACT}"
+
+
+def half_disc(spark, **kinds):
+    thick = (0.2, "m", None, "extracted")
+    arc = ("arc", None, None, (0.0, 0.0), 2.0, 0.0, 180.0)
+    straight = ("segment", (-2.0, 0.0), (2.0, 0.0), None, None, None, None)
+    rows = [("p", "w1", "L0", arc, thick, None), ("p", "w2", "L0", straight, thick, None)]
+    return spark.createDataFrame(rows, WALLS)
+
+
+def test_arc_walls_close_a_room(spark):
+    walls = half_disc(spark)
+    pts = [(2 * math.cos(math.radians(a)), 2 * math.sin(math.radians(a))) for a in range(0, 181, 3)]
+    rooms = spark.createDataFrame([("p", "r", "L0", [{"x": x, "y": y} for x, y in pts])], "plan_id string, id string, level string, polygon array<struct<x:double,y:double>>")
+    assert rules.open_boundary(rooms, walls).isEmpty()
+    assert rules.open_boundary(rooms, walls.filter("id = 'w2'")).first().open_m > 5
+    lines = tb.wall_lines(walls, ["plan_id"])
+    s = tb.sample_lines(lines, ["plan_id"])
+    hits = joins.within_tolerance(s, tb.flat_lines(lines, ["plan_id"]), ["plan_id"])
+    assert joins.coverage(s, hits, ["plan_id"]).first().share == 1.0
+
+
+def test_two_scale_choices_of_a_level_keep_the_rows(spark):
+    walls = half_disc(spark)
+    tables = {
+        "walls": walls,
+        "openings": spark.createDataFrame([("p", "o", "w2", (1.0, "m", None, "x"), (0.9, "m", None, "x"))], f"plan_id string, id string, host_wall string, offset_m {FACT}, width_m {FACT}"),
+        "conflicts": spark.createDataFrame(
+            [("p", k, [{"method": "a", "value": 1.0}, {"method": "b", "value": 2.0}], 0, None, None) for k in ("scale/p1", "scale/p2")],
+            "plan_id string, key string, candidates array<struct<method:string,value:double>>, proposed int, resolution int, resolved_by string"),
+    }
+    choices = spark.createDataFrame([("p", "scale/p1", 1, "u"), ("p", "scale/p2", 1, "u"), ("p", "scale/p2", 1, "v")], "plan_id string, key string, choice int, user string")
+    levels = spark.createDataFrame([("p", "p1", "L0"), ("p", "p2", "L0"), ("p", "p2", "L0")], "plan_id string, page string, level string")
+    out, refused = tb.resolve_conflicts(tables, choices, levels)
+    assert {r.id: r.thickness_m.value for r in out["walls"].collect()} == {"w1": pytest.approx(0.8), "w2": pytest.approx(0.8)}
+    assert out["openings"].count() == 1 and out["conflicts"].filter("resolution = 1").count() == 2 and refused.isEmpty()
+
+
 def test_unreachable_rooms(spark):
     rooms = spark.createDataFrame([("p", r) for r in "abcd"] + [("q", "x"), ("q", "y"), ("s", "z")], "plan_id string, id string")
     doors = spark.createDataFrame([("p", "D1", "a"), ("p", "D2", "a"), ("p", "D2", "b"), ("p", "D3", "c"), ("p", "D3", "d"), ("q", "D1", "x"), ("q", "D1", "y")], "plan_id string, door string, room string")
