@@ -109,17 +109,20 @@ def json_columns(t: Tables) -> DataFrame:
     k AS (SELECT l.*, max(CASE WHEN line <> '' THEN r END) OVER (PARTITION BY doc_id) AS last FROM l),
     c AS (SELECT doc_id, r - 1 AS row_index, string_split(line, ' ') AS cells FROM k WHERE r <= last)
     SELECT doc_id, count(*) AS n_rows, CAST(sum(len(cells)) AS BIGINT) AS n_cells,
-      CAST(max(len(cells)) AS BIGINT) AS widest FROM c GROUP BY doc_id
+      CAST(max(len(cells)) AS BIGINT) AS widest, CAST(NULL AS VARCHAR) AS error_code FROM c GROUP BY doc_id
     """,
 )
 def sheet_cells(t: Tables) -> DataFrame:
-    """SRC-6: lines × words of each document as a cell grid."""
+    """SRC-6: lines × words of each document as a cell grid; documents over the limit are reported."""
     grid = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
-    cells, _ = explode_sheet_cells(t.documents.select("doc_id", grid.alias("rows")), ["doc_id"], max_cells=10**9)
+    cells, refused = explode_sheet_cells(t.documents.select("doc_id", grid.alias("rows")), ["doc_id"])
     per_row = cells.groupBy("doc_id", "row_index").agg(F.count(F.lit(1)).alias("w"))
-    return per_row.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("n_cells"), F.max("w").alias("widest")
+    kept = per_row.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("n_cells"), F.max("w").alias("widest"), F.lit(None).cast("string").alias("error_code")
     )
+    none = F.lit(None).cast("bigint")
+    over = refused.select("doc_id", none.alias("n_rows"), F.col("cells").alias("n_cells"), none.alias("widest"), "error_code")
+    return kept.unionByName(over)
 
 
 @query(

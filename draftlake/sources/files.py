@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEAD = 8192
 
-# Leading bytes (hex) of each kind, first match wins; media types per kind.
+# Leading bytes of each kind as alternatives of (place, bytes) pairs, first match wins;
+# media types per kind.
 MAGIC = [
-    ("pdf", "255044462D", "application/pdf"),
-    ("png", "89504E47", "image/png"),
-    ("jpeg", "FFD8FF", "image/jpeg"),
-    ("webp", "52494646.{8}57454250", "image/webp"),
-    ("tiff", "(49492A00|4D4D002A)", "image/tiff"),
-    ("heic", ".{8}66747970(68656963|68656978|6D696631|6D736631|6865696D|68656973|68657663)", "image/heic"),
-    ("zip", "504B", "application/zip"),
-    ("dwg", "(41433130|4143312E3430|4143312E3530|4143322E3130)", "image/vnd.dwg"),
-    ("ifc", "49534F2D31303330332D3231", "application/x-step"),
-    ("dxf", "4175746F4341442042696E61727920445846", "image/vnd.dxf"),
-    ("3dm", "33442047656F6D657472792046696C6520466F726D6174", "model/vnd.3dm"),
+    ("pdf", [[(0, b"%PDF-")]], "application/pdf"),
+    ("png", [[(0, b"\x89PNG")]], "image/png"),
+    ("jpeg", [[(0, b"\xff\xd8\xff")]], "image/jpeg"),
+    ("webp", [[(0, b"RIFF"), (8, b"WEBP")]], "image/webp"),
+    ("tiff", [[(0, b"II*\0")], [(0, b"MM\0*")]], "image/tiff"),
+    ("heic", [[(4, b"ftyp" + brand)] for brand in (b"heic", b"heix", b"mif1", b"msf1", b"heim", b"heis", b"hevc")], "image/heic"),
+    ("zip", [[(0, b"PK")]], "application/zip"),
+    ("dwg", [[(0, b"AC10")], [(0, b"AC1.40")], [(0, b"AC1.50")], [(0, b"AC2.10")]], "image/vnd.dwg"),
+    ("ifc", [[(0, b"ISO-10303-21")]], "application/x-step"),
+    ("dxf", [[(0, b"AutoCAD Binary DXF")]], "image/vnd.dxf"),
+    ("3dm", [[(0, b"3D Geometry File Format")]], "model/vnd.3dm"),
 ]
-OLE = "D0CF11E0A1B11AE1"
-REVIT_MARKS = "(42006100730069006300460069006C00650049006E0066006F|5265766974)"
-SKETCHUP_HEAD = "FFFEFF0E536B657463685570204D6F64656C"
-SKETCHUP_WIDE = "53006B00650074006300680055007000"
+OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+REVIT_MARKS = ("BasicFileInfo".encode("utf-16-le"), b"Revit")
+SKETCHUP_HEAD = b"\xff\xfe\xff\x0eSketchUp Model"
+SKETCHUP_WIDE = "SketchUp".encode("utf-16-le")
 MEDIA_TYPES = {
     **{k: m for k, _, m in MAGIC},
     "rvt": "application/vnd.autodesk.revit",
@@ -48,19 +52,38 @@ SUPPORTED = [
 NATIVE = ["rvt", "skp"]
 
 
+#: A binary value holds at most this many bytes; larger files are listed without content.
+MOST_BYTES = (1 << 31) - 1024
+
+
 def scan_files(spark: SparkSession, root: str, hashed: bool = True) -> DataFrame:
     """Every file below ``root``: path, name, size, content and SHA-256. Without ``hashed`` the
-    content column can be pruned, so a listing does not read bytes."""
+    content column can be pruned, so a listing does not read bytes.
+
+    A file too large for one binary value is listed with null content and null hash instead of
+    failing the scan; its bytes are hashed where it arrives, from the parts of its upload
+    (``integrity.assemble_chunks``)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    small = files.filter(F.col("length") <= MOST_BYTES)
+    large = files.drop("content").filter(F.col("length") > MOST_BYTES).withColumn("content", F.lit(None).cast("binary"))
     df = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
+        small.unionByName(large)
         .withColumnRenamed("length", "size")
         .withColumn("filename", F.element_at(F.split("path", "/"), -1))
     )
     return df.withColumn("sha256", F.sha2("content", 256)) if hashed else df
 
 
+def _at(head: Column, place: int, mark: bytes) -> Column:
+    """Whether the bytes stand at a place of a head given as hex text."""
+    return F.substring(head, 2 * place + 1, 2 * len(mark)) == mark.hex().upper()
+
+
+def _within(head: Column, mark: bytes) -> Column:
+    """Whether the bytes stand anywhere in a head given as hex text; a byte is two digits."""
+    return head.rlike(f"^(..)*{mark.hex().upper()}")
+
+
 def _text_kind(content: Column, filename: Column) -> Column:
     """dxf / svg / xml / md / txt for UTF-8 heads; null for other bytes."""
     raw = F.substring(content, 1, HEAD)
@@ -114,13 +137,12 @@ def sniff_files(
     Markdown from plain text. ``names`` is an optional array column of ZIP entry names."""
     head = F.hex(F.substring(F.col(content), 1, HEAD))
     kind = F.lit(None).cast("string")
-    for k, pattern, _ in MAGIC:
-        found = head.rlike(f"^{pattern}") if any(c in pattern for c in ".(") else head.startswith(pattern)
+    for k, choices, _ in MAGIC:
+        found = reduce(or_, [reduce(and_, [_at(head, place, mark) for place, mark in marks]) for marks in choices])
         kind = F.coalesce(kind, F.when(found, k))
-    # byte pairs: a mark counts only at an even offset of the hex text
-    revit = head.rlike(f"^(..)*{REVIT_MARKS}")
-    kind = F.coalesce(kind, F.when(head.startswith(OLE), F.when(revit, "rvt").otherwise("ole")))
-    sketch = head.startswith(SKETCHUP_HEAD) | F.substring(head, 1, 128).rlike(f"^(..)*{SKETCHUP_WIDE}")
+    revit = reduce(or_, [_within(head, mark) for mark in REVIT_MARKS])
+    kind = F.coalesce(kind, F.when(_at(head, 0, OLE), F.when(revit, "rvt").otherwise("ole")))
+    sketch = _at(head, 0, SKETCHUP_HEAD) | _within(F.substring(head, 1, 128), SKETCHUP_WIDE)
     kind = F.coalesce(kind, F.when(sketch, "skp"), _text_kind(F.col(content), F.col(filename)))
     if names is not None:
         kind = F.when((kind == "zip") & F.col(names).isNotNull(), container_kind(F.col(names))).otherwise(kind)
