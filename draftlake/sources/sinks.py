@@ -125,7 +125,12 @@ def upsert_open(target: DataFrame, updates: DataFrame, keys: Sequence[str], payl
 def upsert_stream(stream: DataFrame, path: str, by: str, keys: Sequence[str], payload: Sequence[str], checkpoint: str):
     """Guarded upsert of a stream of review items into a partitioned table, one writer. A micro-batch
     only reads and rewrites the partitions it touches; of several items with one key the last one
-    (``arrival``) counts. The new partitions are checkpointed before they replace what was read."""
+    (``arrival``) counts. The new partitions are checkpointed before they replace what was read. A
+    first run begins with an empty table. A key belongs to one partition, so ``by`` is part of it."""
+    if by not in keys:
+        raise ValueError("the partition column is part of the key")
+    schema = stream.drop("arrival").schema
+    stream.sparkSession.createDataFrame([], schema).write.mode("append").partitionBy(by).parquet(path)
 
     def apply(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
@@ -133,7 +138,7 @@ def upsert_stream(stream: DataFrame, path: str, by: str, keys: Sequence[str], pa
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), "arrival").alias("u")).select(*keys, "u.*").drop("arrival")
-        stored = spark.read.parquet(path)
+        stored = spark.read.schema(schema).parquet(path).select(*schema.names)
         touched = stored.join(last.select(by).distinct(), by, "left_semi")
         rewrite_partitions(cut_lineage(upsert_open(touched, last, keys, payload)), path, by)
 

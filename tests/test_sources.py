@@ -95,3 +95,7 @@ def test_upsert_stream(spark, tmp_path):
     sinks.upsert_stream(stream, path, "project_id", ["project_id", "id"], ["payload_json"], str(tmp_path / "ck")).awaitTermination(120)
     got = {(r.project_id, r.id): (r.status, r.payload_json) for r in spark.read.parquet(path).collect()}
     assert got == {("p", "k1"): ("open", "A2"), ("p", "k2"): ("resolved", "b"), ("p", "k9"): ("open", "N"), ("q", "k3"): ("open", "c")}
+    fresh = str(tmp_path / "fresh")  # a first run has no table
+    stream = spark.readStream.schema(schema + ", arrival bigint").parquet(src)
+    sinks.upsert_stream(stream, fresh, "project_id", ["project_id", "id"], ["payload_json"], str(tmp_path / "ck2")).awaitTermination(120)
+    assert {(r.id, r.payload_json) for r in spark.read.parquet(fresh).collect()} == {("k1", "A2"), ("k2", "B"), ("k9", "N")}
