@@ -92,11 +92,31 @@ def span_text(spans: Column) -> Column:
     )
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """The written table in tasks of about ``rows`` rows where it came in more and smaller ones, so that
+    the many short steps on small tables do not each write a file per partition."""
+    kept = cut_lineage(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
 def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The written table, marked for broadcast if it has at most ``most`` (narrow) rows; beyond that
     the join shuffles both sides as usual."""
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    n = kept.count()
+    return F.broadcast(kept.coalesce(max(1, n // 50_000))) if n <= most else kept
+
+
+def shared_labels(edges: DataFrame, jumps: int = 3) -> DataFrame:
+    """(id, label) for ids with an edge (a, b), b smaller: equal labels mean a common component, but a
+    component may still have several. The smallest neighbour, then ``jumps`` times the label of the
+    label."""
+    label = compact(edges.where("a <> b").groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id"))
+    for _ in range(jumps):
+        up = label.select(F.col("id").alias("__up"), F.col("label").alias("__top"))
+        label = label.join(up, F.col("label") == F.col("__up"), "left").select("id", F.coalesce("__top", "label").alias("label"))
+        label = compact(label)
+    return label
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -107,17 +127,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     vertex with many neighbours is met by a combined minimum and a join that adaptive execution may
     split; no neighbourhood is ever collected. Self-loops and repeated edges are allowed."""
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-    pairs = cut_lineage(pairs.where("u <> v").distinct())
+    pairs = compact(pairs.where("u <> v").distinct())
     state = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        pairs = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pairs = compact(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
         stars = pairs.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))
         )).alias("e")).select("e.u", "e.v")
-        pairs = cut_lineage(stars.where("u <> v").distinct())
+        pairs = compact(stars.where("u <> v").distinct())
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == now:
             break

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import components, small_side, whole
+from draftlake.llm.common import compact, components, shared_labels, small_side, whole
 from draftlake.session import cut_lineage
 
 
@@ -23,13 +23,13 @@ class Settings:
     """A pair of similarity s shares a node ``depth`` levels deep in one tree with s**depth, so the
     trees together miss it with (1 - s**depth)**trees: 0.0006 at 0.85, 0.00001 at 0.9.
 
-    ``seeds`` trees give first links and components. Then nodes of all trees are compared where they
-    hold several components: up to ``limit`` sets at once; in larger nodes whose largest component
-    leaves at most half the limit outside, these against blocks of that component, so the work stays
-    linear in a large group of copies; other large nodes branch on by two coordinates at a time, which
-    keeps pairs at the threshold alive (on average 1.7 of two branches hold both), or by one where a
-    node does not shrink. Nodes that are still large after ``levels`` more levels are compared in all
-    pairs of blocks, so nothing is dropped."""
+    ``seeds`` trees give first links and labels of parts of components. Then the nodes of all trees are
+    compared where they hold several labels: up to ``limit`` sets at once; in larger nodes whose
+    largest label leaves at most half the limit outside, these against blocks of that label, so the
+    work stays linear in a large group of copies; other large nodes branch on by two coordinates at a
+    time, which keeps pairs at the threshold alive (on average 1.7 of two branches hold both), or by
+    one where a node does not shrink. Nodes that are still large after ``levels`` more levels are
+    compared in all pairs of blocks, so nothing is dropped."""
 
     percent: int = 85
     words: int = 5
@@ -129,8 +129,8 @@ def leaves(sets: DataFrame, s: Settings) -> DataFrame:
     out = []
     for level in range(s.levels + 1):
         one = _described(nodes).groupBy("size", "total", "mixed").agg(F.min(F.struct("node", "major", "major_size")).alias("m"))
-        named = cut_lineage(one.select("size", F.col("m.node").alias("node"), "m.major", "m.major_size"))
-        here = cut_lineage(nodes.join(named, "node"))
+        named = compact(one.select("size", F.col("m.node").alias("node"), "m.major", "m.major_size"))
+        here = compact(nodes.join(named, "node"))
         small, outside = F.col("size") <= s.limit, F.col("size") - F.col("major_size")
         dense = ~small & (outside * 2 <= s.limit)
         out.append(here.where(small).select(F.col("node").alias("leaf"), "vid"))
@@ -209,7 +209,7 @@ def linked(vids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
 def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     """Edges (a, b) between ids of the leaves. Whole sets are built again from the texts of the
     members, which are found by a join that is broadcast only up to a checked number of ids."""
-    members = cut_lineage(members)
+    members = compact(members.distinct())
     wanted = members.select("vid").distinct().join(sets.select("vid", "h"), "vid")
     keys = small_side(wanted.select(F.col("vid").alias("__v"), F.col("h").alias("__h")))
     rows = docs.join(keys, (F.col(doc_id) == F.col("__v")) & (F.xxhash64(text) == F.col("__h")))
@@ -220,7 +220,7 @@ def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str,
             yield pd.DataFrame({"vid": part["vid"], "values": [shingles(t, s.words).tobytes() for t in part["text"]]})
 
     found = rows.mapInPandas(build, "vid bigint, values binary")
-    dealt = members.distinct().join(found, "vid").repartition("leaf").sortWithinPartitions("leaf", "vid")
+    dealt = members.join(found, "vid").repartition("leaf").sortWithinPartitions("leaf", "vid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf, vids, sets_, out = None, [], [], []
@@ -256,11 +256,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     s = settings or Settings()
     rows = cut_lineage(sketched(docs.select(doc_id, text), doc_id, text, s))
     full = rows.where("n > 0 and id is not null")
-    classes = cut_lineage(full.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "sketch")).alias("m")).select("s1", "s2", F.col("m.id").alias("vid"), "m.h", "m.sketch"))
-    first = cut_lineage(verified(seed_leaves(classes, s), docs, classes, doc_id, text, s))
-    grouped = classes.join(components(first).withColumnRenamed("component", "comp"), F.col("vid") == F.col("id"), "left")
-    grouped = cut_lineage(grouped.select("vid", "h", "sketch", F.coalesce("comp", "vid").alias("comp")))
-    edges = first.unionByName(verified(leaves(grouped, s), docs, grouped, doc_id, text, s))
+    classes = compact(full.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "sketch")).alias("m")).select("s1", "s2", F.col("m.id").alias("vid"), "m.h", "m.sketch"))
+    first = compact(verified(seed_leaves(classes, s), docs, classes, doc_id, text, s))
+    grouped = classes.join(shared_labels(first), F.col("vid") == F.col("id"), "left")
+    grouped = compact(grouped.select("vid", "h", "sketch", F.coalesce("label", "vid").alias("comp")))
+    edges = first.unionByName(compact(verified(leaves(grouped, s), docs, grouped, doc_id, text, s)))
     same = full.join(classes.select("s1", "s2", "vid"), ["s1", "s2"]).select(F.col("id").alias("a"), F.col("vid").alias("b"))
     several = same.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
     extra = same.join(several.select("a"), "a")
