@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions.graph import compact
 from draftlake.functions.text import let
 from draftlake.session import cut_lineage
 
@@ -92,13 +93,6 @@ def span_text(spans: Column) -> Column:
     )
 
 
-def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """The written table in tasks of about ``rows`` rows where it came in more and smaller ones, so that
-    the many short steps on small tables do not each write a file per partition."""
-    kept = cut_lineage(df)
-    return kept.coalesce(max(1, -(-kept.count() // rows)))
-
-
 def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The written table, marked for broadcast if it has at most ``most`` (narrow) rows; beyond that
     the join shuffles both sides as usual."""
@@ -117,31 +111,3 @@ def shared_labels(edges: DataFrame, jumps: int = 3) -> DataFrame:
         label = label.join(up, F.col("label") == F.col("__up"), "left").select("id", F.coalesce("__top", "label").alias("label"))
         label = compact(label)
     return label
-
-
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Smallest id reachable from every id that has an edge: (id, component).
-
-    Alternating large-star and small-star rounds (Kiveris and others, 2014): every round links the
-    neighbours of a vertex to the smallest of them, so stars form after about log(n) rounds. A
-    vertex with many neighbours is met by a combined minimum and a join that adaptive execution may
-    split; no neighbourhood is ever collected. Self-loops and repeated edges are allowed."""
-    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-    pairs = compact(pairs.where("u <> v").distinct())
-    state = None
-    while True:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        pairs = compact(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        stars = pairs.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))
-        )).alias("e")).select("e.u", "e.v")
-        pairs = compact(stars.where("u <> v").distinct())
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == now:
-            break
-        state = now
-    ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return ends.union(roots)

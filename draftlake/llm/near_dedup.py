@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import compact, components, shared_labels, small_side, whole
+from draftlake.functions.graph import compact, components
+from draftlake.llm.common import shared_labels, small_side, whole
 from draftlake.session import cut_lineage
 
 
