@@ -12,6 +12,7 @@ from draftlake.session import cut_lineage
 WS_CHARS = " \t\n\x0b\f\r"
 WS = "[\\x20\\x09-\\x0D]+"
 LONGS = "array<bigint>"
+SPANS = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
 
 
 def whole(text: Column | str) -> Column:
@@ -74,7 +75,7 @@ def spans_of(text: Column, pattern: str, context: int = 40) -> Column:
 
         return let(F.split(text, pattern, -1), placed)
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
+    none = F.array().cast(SPANS)
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda hits: F.when(F.size(hits) == 0, none).otherwise(located(hits)),

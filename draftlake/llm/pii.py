@@ -5,11 +5,15 @@ trained on the estimates."""
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import spans_of, whole
+from draftlake.functions.text import let
+from draftlake.llm.common import SPANS, spans_of, whole
+from draftlake.session import cut_lineage
 
 #: Base kinds in their order. Possessive loops match what greedy ones match, without recursion; a
 #: match of ``email`` or ``ip`` can only begin where a run begins or the match before it ended.
@@ -38,11 +42,16 @@ EXTRA = {
     "phone_local": r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<![\p{L}'-])(?:" + "|".join(GIVEN_NAMES) + r")\x20\p{Lu}\p{Ll}{2,20}(?![\p{L}'-])",
+    "name": r"(?=[A-Z])(?<![\p{L}'-])(?:" + "|".join(GIVEN_NAMES) + r")\x20\p{Lu}\p{Ll}{2,20}(?![\p{L}'-])",
 }
 
 KINDS = [*BASE, *EXTRA]
 
+#: Strings one of which a text must hold for a kind, and kinds that need a digit: texts without skip
+#: the pattern, which cannot match there.
+SIGNS = {"email": ["@"], "phone": ["+"], "email_text": ["at]", "at)"], "ip6": [":"], "ip": ["."], "national_id": ["-"]}
+DIGITS = {"ip", "card", "phone", "phone_local", "national_id", "iban"}
+
 #: Words before a span that speak for a kind, or against personal data.
 CUES = {
     "email": "mail|contact|write|reach", "ip": "ip|address|host|client|server|from", "card": "card|visa|credit|debit|payment",
@@ -125,14 +134,18 @@ def shape(kind: str, span: Column) -> list[Column]:
 def candidates(text: Column) -> Column:
     """All candidates as array<struct<order,kind,start,end,votes,shape>>; base spans pass their checks."""
 
-    def of(k: int, kind: str) -> Column:
+    def of(k: int, kind: str, digit: Column) -> Column:
+        possible = digit if kind in DIGITS else F.lit(True)
+        if kind in SIGNS:
+            possible = possible & reduce(or_, [F.contains(text, F.lit(x)) for x in SIGNS[kind]])
         found = base_spans(text, kind) if kind in BASE else spans_of(text, EXTRA[kind])
+        found = F.when(possible, found).otherwise(F.array().cast(SPANS))
         return F.transform(found, lambda s: F.struct(
             F.lit(k).alias("order"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
             F.array(*votes(kind, s)).alias("votes"), F.array(*shape(kind, s)).alias("shape"),
         ))
 
-    return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
+    return let(text.rlike("[0-9]"), lambda digit: F.concat(*[of(k, kind, digit) for k, kind in enumerate(KINDS)]))
 
 
 # ---- reliabilities and classifier, on counts of vote patterns ------------------------------------
@@ -217,17 +230,21 @@ def probability(weights: dict[str, float], c: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame, text: str = "text", *, threshold: float = 0.5) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", *, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with ``base`` and ``spans``: arrays of (order, kind, start, end), in the
-    order of kind and start; offsets are code points with an exclusive end.
+    order of kind and start; offsets are code points with an exclusive end. With ``carry`` only these
+    columns pass, and the candidates are written once for the fit and the scores; without it all
+    columns pass, and texts are scanned for each.
 
     Base spans always stay. A further candidate joins them if the classifier gives it at least
     ``threshold`` and it overlaps no base span. Null text counts as empty; repeated rows get equal
     results; an empty table gives an empty table; extra columns pass through. Long texts stay linear:
     no pattern can backtrack over a run twice."""
-    rest = [c for c in docs.columns if c not in ("base", "spans")]
-    weights, _ = fitted(docs.select(candidates(whole(text)).alias("candidates")))
+    rest = [c for c in carry or docs.columns if c not in ("base", "spans")]
     found = docs.select(*rest, candidates(whole(text)).alias("__c"))
+    if carry:
+        found = cut_lineage(found)
+    weights, _ = fitted(found.select(F.col("__c").alias("candidates")))
     lean = lambda a: F.array_sort(F.transform(a, lambda c: F.struct(c["order"], c["kind"], c["start"], c["end"])))
     base = F.filter("__c", lambda c: c["order"] < len(BASE))
     extra = F.filter("__c", lambda c: (c["order"] >= len(BASE)) & (probability(weights, c) >= threshold))

@@ -90,7 +90,7 @@ def op7_template_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
-    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"), carry=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return found.select(
         "doc_id", *[count(k) for k in pii.BASE], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),

@@ -3,10 +3,13 @@ an interval join, and weak parts are reported only next to the parts that comple
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import row_keys, spans_of, whole
+from draftlake.llm.common import SPANS, row_keys, spans_of, whole
 
 #: Base kinds in their order; possessive loops match what greedy ones match.
 BASE = {
@@ -23,6 +26,9 @@ WEAK = {
     "endpoint": r"""(?<![A-Za-z])(?:https?|ftp|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}+""",
 }
 
+#: Strings one of which a text must hold for a kind; texts without skip the pattern.
+SIGNS = {"assign": ["=", ":"], "access": ["AKIA"], "weak_id": ["=", ":"], "endpoint": ["://"]}
+
 #: What a part is in a credential.
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 #: Roles that must stand within reach of a weak part before it is reported.
@@ -44,6 +50,9 @@ def parts(text: Column, kinds: list[str]) -> Column:
 
     def of(kind: str) -> Column:
         found = base_spans(text, kind) if kind in BASE else spans_of(text, WEAK[kind])
+        if kind in SIGNS:
+            possible = reduce(or_, [F.contains(text, F.lit(x)) for x in SIGNS[kind]])
+            found = F.when(possible, found).otherwise(F.array().cast(SPANS))
         return F.transform(found, lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")
         ))
