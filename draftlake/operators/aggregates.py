@@ -123,7 +123,7 @@ def class_iou(df: DataFrame, truth: str, pred: str) -> DataFrame:
 def class_freq(df: DataFrame, label: str) -> DataFrame:
     """Share of every class; totals are taken over the class counts, not over the rows."""
     per = df.groupBy(F.col(label).alias("class")).agg(n_rows().alias("n"))
-    return per.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))
+    return per.withColumn("share", F.col("n") / per.agg(F.sum("n")).scalar())
 
 
 # ---------------------------------------------------------------- robust estimates
