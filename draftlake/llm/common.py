@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.functions.graph import compact
 from draftlake.functions.text import let
 from draftlake.session import cut_lineage
 
@@ -100,15 +99,3 @@ def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     kept = cut_lineage(df)
     n = kept.count()
     return F.broadcast(kept.coalesce(max(1, n // 50_000))) if n <= most else kept
-
-
-def shared_labels(edges: DataFrame, jumps: int = 3) -> DataFrame:
-    """(id, label) for ids with an edge (a, b), b smaller: equal labels mean a common component, but a
-    component may still have several. The smallest neighbour, then ``jumps`` times the label of the
-    label."""
-    label = compact(edges.where("a <> b").groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id"))
-    for _ in range(jumps):
-        up = label.select(F.col("id").alias("__up"), F.col("label").alias("__top"))
-        label = label.join(up, F.col("label") == F.col("__up"), "left").select("id", F.coalesce("__top", "label").alias("label"))
-        label = compact(label)
-    return label

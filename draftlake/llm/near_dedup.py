@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.graph import compact, components
-from draftlake.llm.common import shared_labels, small_side, whole
+from draftlake.llm.common import small_side, whole
 from draftlake.session import cut_lineage
 
 
@@ -24,9 +24,9 @@ class Settings:
     """A pair of similarity s shares a node ``depth`` levels deep in one tree with s**depth, so the
     trees together miss it with (1 - s**depth)**trees: 0.0006 at 0.85, 0.00001 at 0.9.
 
-    ``seeds`` trees give first links and labels of parts of components. Then the nodes of all trees are
-    compared where they hold several labels: up to ``limit`` sets at once; in larger nodes whose
-    largest label leaves at most half the limit outside, these against blocks of that label, so the
+    ``seeds`` trees give first links and components. Then the nodes of all trees are compared where
+    they hold several components: up to ``limit`` sets at once; in larger nodes whose largest
+    component leaves at most half the limit outside, these against blocks of that component, so the
     work stays linear in a large group of copies; other large nodes branch on by two coordinates at a
     time, which keeps pairs at the threshold alive (on average 1.7 of two branches hold both), or by
     one where a node does not shrink. Nodes that are still large after ``levels`` more levels are
@@ -258,10 +258,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = cut_lineage(sketched(docs.select(doc_id, text), doc_id, text, s))
     full = rows.where("n > 0 and id is not null")
     classes = compact(full.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "sketch")).alias("m")).select("s1", "s2", F.col("m.id").alias("vid"), "m.h", "m.sketch"))
-    first = compact(verified(seed_leaves(classes, s), docs, classes, doc_id, text, s))
-    grouped = classes.join(shared_labels(first), F.col("vid") == F.col("id"), "left")
-    grouped = compact(grouped.select("vid", "h", "sketch", F.coalesce("label", "vid").alias("comp")))
-    edges = first.unionByName(compact(verified(leaves(grouped, s), docs, grouped, doc_id, text, s)))
+    first = verified(seed_leaves(classes, s), docs, classes, doc_id, text, s)
+    seeded = compact(components(first))
+    grouped = classes.join(seeded, F.col("vid") == F.col("id"), "left")
+    grouped = compact(grouped.select("vid", "h", "sketch", F.coalesce("component", "vid").alias("comp")))
+    edges = seeded.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(
+        compact(verified(leaves(grouped, s), docs, grouped, doc_id, text, s))
+    )
     same = full.join(classes.select("s1", "s2", "vid"), ["s1", "s2"]).select(F.col("id").alias("a"), F.col("vid").alias("b"))
     several = same.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
     extra = same.join(several.select("a"), "a")
