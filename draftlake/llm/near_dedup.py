@@ -127,7 +127,7 @@ def leaves(sets: DataFrame, s: Settings) -> DataFrame:
     """(leaf, vid) Members to compare, of the nodes of all trees that hold several components; nodes of
     equal members once. ``sets`` has vid, comp and sketch."""
     nodes = _nodes(sets.select("vid", "comp", "sketch"), s, range(s.trees)).withColumn("above", F.lit(None).cast("bigint"))
-    out = []
+    out, sketches = [], sets.select("vid", "sketch")
     for level in range(s.levels + 1):
         one = _described(nodes).groupBy("size", "total", "mixed").agg(F.min(F.struct("node", "major", "major_size")).alias("m"))
         named = compact(one.select("size", F.col("m.node").alias("node"), "m.major", "m.major_size"))
@@ -151,7 +151,9 @@ def leaves(sets: DataFrame, s: Settings) -> DataFrame:
         branch = lambda j: F.xxhash64(F.lit(s.trees + j), F.lit(level), "node", at(j))
         shrinks = F.col("above").isNull() | (F.col("size") < 0.7 * F.col("above"))
         next_ = F.when(shrinks, F.array(branch(0), branch(1))).otherwise(F.array(branch(0)))
-        nodes = grown.join(sets.select("vid", "sketch"), "vid").select(
+        few = small_side(grown.select("vid").distinct())  # the sketches of large nodes only
+        sketches = compact(sketches.join(few, "vid"))
+        nodes = grown.join(sketches, "vid").select(
             "vid", "comp", F.col("size").alias("above"), F.explode(next_).alias("node")
         )
     return reduce(DataFrame.unionByName, out)
