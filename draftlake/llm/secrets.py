@@ -61,22 +61,23 @@ def parts(text: Column, kinds: list[str]) -> Column:
 
 
 def linked_parts(each: DataFrame, key: list[str], *, reach: int = REACH) -> DataFrame:
-    """Weak parts whose complements begin within ``reach`` code points of their begin, in the same scope.
+    """Weak parts whose complements lie within ``reach`` code points in the same scope, from the end of
+    the earlier to the begin of the later part (0 where they overlap).
 
     ``each`` has the scope's key and a part (start, order, kind, end). The interval join goes over
-    cells of the width of the reach: per scope, role and cell only the first and the last start are
-    kept, since the own cell is always within reach, the cell before reaches by its last start and
-    the cell behind by its first. So a part meets at most three summaries per role, however many parts
-    a scope holds, and no pairs of parts are made."""
+    cells of the width of the reach; a part enters every cell it covers. Per scope, role and cell only
+    the first start and the last end are kept, since cells that both parts cover are always within
+    reach, the cell before reaches by its last end and the cell behind by its first start. So a part
+    meets two summaries per role and one per cell it covers, however many parts a scope holds, and no
+    pairs of parts are made."""
     roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    cell = F.floor(F.col("start") / reach)
-    cells = each.groupBy(*key, F.element_at(roles, F.col("kind")).alias("role"), cell.alias("cell")).agg(
-        F.min("start").alias("first"), F.max("start").alias("last")
-    )
+    low, high = F.floor(F.col("start") / reach), F.floor(F.col("end") / reach)
+    covered = each.select(*key, "start", "end", F.element_at(roles, F.col("kind")).alias("role"), F.explode(F.sequence(low, high)).alias("cell"))
+    cells = covered.groupBy(*key, "role", "cell").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     wants = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     weak = each.where(F.col("kind").isin(list(WEAK))).withColumn("needs", F.element_at(wants, F.col("kind")))
-    probes = weak.select("*", F.explode("needs").alias("role")).select("*", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
-    near = (F.col("first") <= F.col("start") + reach) & (F.col("last") >= F.col("start") - reach)
+    probes = weak.select("*", F.explode("needs").alias("role")).select("*", F.explode(F.sequence(low - 1, high + 1)).alias("cell"))
+    near = (F.col("first") <= F.col("end") + reach) & (F.col("last") >= F.col("start") - reach)
     met = probes.join(cells, [*key, "role", "cell"]).where(near)
     whole_ = met.groupBy(*key, "start", "order", "kind", "end", F.size("needs").alias("n")).agg(F.count_distinct("role").alias("met"))
     return whole_.where("met = n").select(*key, "start", "order", "kind", "end")

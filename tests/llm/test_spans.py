@@ -88,3 +88,17 @@ def test_links_against_pairs(spark):
             and all(any(secrets.ROLES[q] == need and abs(b - a) <= secrets.REACH for b, _, q in every) for need in secrets.NEEDS[k])
         }
         assert {(x.start, x.kind) for x in r.spans if x.kind in secrets.WEAK} == want, orders[r.doc_id]
+
+
+def test_long_parts_link_from_span_to_span(spark):
+    long_key, url = "aB3dE5fG7h" * 100, "https://db.example/" + "x" * 700
+    gap = lambda n: " " + "." * (n - 2) + " "
+    texts = [
+        long_key + "\nuser=bob_smith", "password=" + "q" * 900 + " user=bob_smith", "user=bob_smith " + long_key,
+        url + " user=bob_smith " + long_key, url + gap(285) + "user=bob_smith password=secret99", url + gap(286) + "user=bob_smith password=secret99",
+        long_key + gap(300) + "user=bob_smith", long_key + gap(301) + "user=bob_smith", "user=bob_smith" + gap(300) + long_key, "user=bob_smith" + gap(301) + long_key,
+    ]
+    want = [{"weak_secret", "weak_id"}, {"weak_id"}, {"weak_secret", "weak_id"}, {"endpoint", "weak_secret", "weak_id"}, {"endpoint", "weak_id"}, {"weak_id"}]
+    want += [{"weak_secret", "weak_id"}, set()] * 2
+    got = {r.doc_id: {x.kind for x in r.spans if x.kind in secrets.WEAK} for r in secrets.scan(frames.frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
