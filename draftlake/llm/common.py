@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from draftlake.functions.text import let
@@ -99,3 +100,17 @@ def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     kept = cut_lineage(df)
     n = kept.count()
     return F.broadcast(kept.coalesce(max(1, n // 50_000))) if n <= most else kept
+
+
+def ranks_in_parts(rows: DataFrame, key: str, parts: Column, order: list[str], name: str = "rank") -> DataFrame:
+    """Rows with their place from 0 among the rows of equal ``key``. A key is numbered in ``parts``
+    pieces by a hash of ``order``, and the pieces are put one behind the other, so a hot key is many
+    tasks; the table of pieces has one row per key and piece and is broadcast up to a checked size."""
+    piece = F.pmod(F.xxhash64(*order), parts).cast("bigint")
+    cut = rows.withColumn("__piece", piece)
+    sizes = cut.groupBy(key, "__piece").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(key).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
+    base = small_side(sizes.select(F.col(key).alias("__k"), F.col("__piece").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before")))
+    inside = F.row_number().over(W.partitionBy(key, "__piece").orderBy(*order)) - 1
+    placed = cut.withColumn("__row", inside).join(base, (F.col(key) == F.col("__k")) & (F.col("__piece") == F.col("__p")))
+    return placed.withColumn(name, F.col("__row") + F.col("__before")).drop("__piece", "__k", "__p", "__row", "__before")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import chat, exact_dedup, licences, mixing, near_dedup, packing, pii, quality_model, quality_rules, secrets
+from draftlake.llm import (
+    chat, exact_dedup, licences, manifest, mixing, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, spelling,
+)
 from draftlake.llm.common import span_text
 from draftlake.llm.oracles import ORACLES
 
@@ -112,3 +114,30 @@ def op4_credential_links(spark: SparkSession, folder: str) -> DataFrame:
 def op6_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "mix.*")
+
+
+@query
+def op11_reduced_alphabet(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, folder, "documents"))
+    return spelling.variants(words.where("n >= 3"))
+
+
+@query
+def op12_longest_first(spark: SparkSession, folder: str) -> DataFrame:
+    out = sharding.shard_rows(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op13_nested_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    kept = ["doc_id", "source", "lang", "n_chars"]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without = manifest.leaf(*[F.col(c) for c in kept], F.replace("text", F.lit("\n"), F.lit("")))
+    rows = table(spark, folder, "documents").select(
+        "doc_id", "source", manifest.leaf(*[F.col(c) for c in kept], F.col("text")).alias("leaf"), F.when(changed, without).alias("tampered")
+    )
+    again = manifest.folded(F.coalesce("tampered", "leaf"), F.col("steps"))
+    out = manifest.manifest(rows).select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("steps")).alias("proof_sha256"), again.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))

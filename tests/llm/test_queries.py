@@ -18,5 +18,5 @@ def test_one_query_per_operator_and_the_pipeline():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names
