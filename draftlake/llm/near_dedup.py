@@ -10,6 +10,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +23,16 @@ from draftlake.session import cut_lineage
 @dataclass(frozen=True)
 class Settings:
     """A pair of similarity s shares a node ``depth`` levels deep in one tree with s**depth, so small
-    nodes miss it with (1 - s**depth)**trees: 0.0003 at 0.85. Where all its nodes are large and branch
-    on, a pair outlives the branching of one with about 0.97 at 0.85, and is missed with about 0.0004.
+    nodes miss it with (1 - s**depth)**trees: 0.0003 at 0.85.
 
     ``seeds`` trees give first links and components. Then the nodes of all trees are compared where
     they hold several components: up to ``limit`` sets at once; in larger nodes whose largest
-    component leaves at most half the limit outside, these against blocks of that component, so the
-    work stays linear in a large group of copies; other large nodes branch on by two coordinates that
-    their path has not used, which keeps pairs at the threshold alive (on average 1.7 of two branches
-    hold both). A large node that keeps 70 % or more of the one above, or is left after ``levels`` more
-    levels, is compared in all pairs of blocks: two such branches would make no fewer pairs."""
+    component leaves at most half the limit outside, these against blocks of that component. Other
+    large nodes are crowds: sets that share most of their tokens, such as texts on one template. All
+    crowds that share members become one, so each set is dealt with once and not per tree. A crowd
+    has a centre, the tokens of most of about ``sample`` of its members, and branches on by what
+    distinguishes its members from it (see ``branches``): by the ``chosen`` minwise tokens of the
+    difference, rare ones first, and by the most frequent one. ``levels`` bounds the branchings."""
 
     percent: int = 85
     words: int = 5
@@ -39,12 +40,14 @@ class Settings:
     depth: int = 4
     limit: int = 256
     levels: int = 8
-    spare: int = 24
     seeds: int = 2
+    sample: int = 48
+    chosen: int = 24
+    block: int = 64
 
     @property
     def coordinates(self) -> int:
-        return self.trees * self.depth + self.spare
+        return self.trees * self.depth
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -82,18 +85,19 @@ def sketched(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     """(id, h, n, s1, s2, sketch) per row: hash of the text, size and 128-bit digest of the set, and
     its minwise coordinates."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = []
-            for key, h, t in zip(part["id"], part["h"], part["text"], strict=True):
-                v = shingles(t, s.words)
+            for t in part.column(2):  # one text at a time: a batch may hold very long ones
+                v = shingles(t.as_py(), s.words)
                 d = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), np.int64)
-                rows.append((key, h, len(v), int(d[0]), int(d[1]), sketch(v, s).tolist() if len(v) else []))
-            yield pd.DataFrame(rows, columns=["id", "h", "n", "s1", "s2", "sketch"])
+                rows.append((len(v), int(d[0]), int(d[1]), sketch(v, s) if len(v) else []))
+            n, s1, s2, low = zip(*rows, strict=True) if rows else ((), (), (), ())
+            made = [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(list(low), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["id", "h", "n", "s1", "s2", "sketch"])
 
-    source = docs.select(F.col(doc_id).cast("string").alias("id"), F.xxhash64(text).alias("h"), whole(text).alias("text"))
-    out = source.mapInPandas(run, "id string, h bigint, n bigint, s1 bigint, s2 bigint, sketch array<int>")
-    return out.withColumn("id", F.col("id").cast("bigint"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), whole(text).alias("text"))
+    return source.mapInArrow(run, "id bigint, h bigint, n bigint, s1 bigint, s2 bigint, sketch array<int>")
 
 
 def _nodes(sets: DataFrame, s: Settings, trees: range) -> DataFrame:
@@ -124,52 +128,125 @@ def _described(nodes: DataFrame) -> DataFrame:
     ).where("comps > 1")
 
 
-def leaves(sets: DataFrame, s: Settings) -> DataFrame:
-    """(leaf, vid) Members to compare, of the nodes of all trees that hold several components; nodes of
-    equal members once. ``sets`` has vid, comp and sketch."""
-    nodes = _nodes(sets.select("vid", "comp", "sketch"), s, range(s.trees)).withColumns({"above": F.lit(None).cast("bigint"), "used": F.lit(0)})
-    out, sketches = [], sets.select("vid", "sketch")
+def leaves(sets: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(leaf, vid) members to compare, of the nodes of all trees that hold several components, and
+    (node, vid) members of crowds. Nodes of equal members count once. ``sets``: vid, comp, sketch."""
+    nodes = _nodes(sets.select("vid", "comp", "sketch"), s, range(s.trees))
+    one = _described(nodes).groupBy("size", "total", "mixed").agg(F.min(F.struct("node", "major", "major_size")).alias("m"))
+    named = compact(one.select("size", F.col("m.node").alias("node"), "m.major", "m.major_size"))
+    here = compact(nodes.join(named, "node"))
+    small, outside = F.col("size") <= s.limit, F.col("size") - F.col("major_size")
+    dense = ~small & (outside * 2 <= s.limit)
+    blocks = F.ceil(F.col("major_size") / (s.limit - outside)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("vid", F.lit(2)), blocks).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    dealt = here.where(dense).withColumn("block", F.explode(F.when(F.col("comp") == F.col("major"), own).otherwise(every)))
+    out = here.where(small).select(F.col("node").alias("leaf"), "vid").unionByName(
+        dealt.select(F.xxhash64("node", F.lit(-1), "block").alias("leaf"), "vid")
+    )
+    large = here.where(~small & ~dense).select("node", "vid")
+    if large.isEmpty():
+        return out, large
+    met = components(large, "node", "vid")
+    crowds = large.join(met, F.col("vid") == F.col("id")).select(F.col("component").alias("node"), "vid").distinct()
+    return out, compact(crowds)
+
+
+def centre(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sets that hold them) of some sets; tokens of one set only count where it is alone."""
+    tokens, times = np.unique(np.concatenate(sets), return_counts=True)
+    keep = (times > 1) | (2 * times > len(sets))
+    return tokens[keep], times[keep].astype(np.int64)
+
+
+_LACKS = np.uint64(0x5851F42D4C957F2D)
+
+
+def branches(values: np.ndarray, tokens: np.ndarray, times: np.ndarray, sampled: int, s: Settings) -> tuple[int, list[int]]:
+    """(size of the difference to the centre, what to branch by).
+
+    The difference holds the tokens beside the centre and, marked, those of the centre that the set
+    lacks. Two sets are as far apart as their differences: sets near each other share much of these,
+    or both are near the centre and thus near its closest member. Chosen are the minwise tokens of
+    the traits that fewer than two sampled sets have (of all, if there are none), and the trait that
+    most of them have, by which parts of the crowd meet that have more in common than the centre."""
+    core = 2 * times > sampled
+    lack = ~np.isin(tokens, values, assume_unique=True) & core
+    beside = np.setdiff1d(values, tokens[core], assume_unique=True)
+    traits = np.concatenate([beside, tokens[lack] ^ _LACKS])
+    if not len(traits):
+        return 0, []
+    at = np.searchsorted(tokens, beside)
+    hit = at < len(tokens)
+    hit[hit] = tokens[at[hit]] == beside[hit]
+    count = np.zeros(len(traits), np.int64)
+    count[:len(beside)][hit] = times[at[hit]]
+    count[len(beside):] = sampled - times[lack]
+    rare = traits[count < 2] if (count < 2).any() else traits
+    f = _factors(s.chosen)[:, None]
+    pick = np.empty(s.chosen, np.int64)
+    for k in range(0, s.chosen, 8):  # a few rows at a time bound the memory on long texts
+        pick[k:k + 8] = ((rare[None, :] ^ (f[k:k + 8] >> np.uint64(7))) * f[k:k + 8]).argmin(axis=1)
+    top = traits[np.lexsort((traits, -count))[0]]
+    return len(traits), np.unique(np.r_[rare[pick], top]).view(np.int64).tolist()
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _branched(large: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(node, size, vid, far, keys) of the members of large nodes (node, size, vid)."""
+
+    def centred(part: pd.DataFrame) -> pd.DataFrame:
+        tokens, times = centre([_set(x) for x in part["values"]])
+        return pd.DataFrame({"node": part["node"][:1], "tokens": [tokens.tobytes()], "times": [times.tobytes()], "sampled": [len(part)]})
+
+    some = large.where(F.pmod(F.xxhash64("node", "vid"), F.col("size")) < s.sample).join(sets, "vid").select("node", "values")
+    centres = some.groupBy("node").applyInPandas(centred, "node bigint, tokens binary, times binary, sampled int")
+    copies = F.ceil(F.col("size") / 2000).cast("int")  # a row of the centre per so many members: no hot key
+    sizes = large.select("node", "size").distinct()
+    dealt = centres.join(sizes, "node").select("node", "tokens", "times", "sampled", F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
+    members = large.join(sets, "vid").withColumn("part", F.pmod(F.xxhash64("vid", F.lit(4)), copies).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for node, size, v, data, tokens, times, n in zip(*[part[c] for c in ("node", "size", "vid", "values", "tokens", "times", "sampled")], strict=True):
+                rows.append((node, size, v, *branches(_set(data), _set(tokens or b""), np.frombuffer(times or b"", np.int64), int(n or 0), s)))
+            yield pd.DataFrame(rows, columns=["node", "size", "vid", "far", "keys"])
+
+    joined = members.join(dealt, ["node", "part"], "left").select("node", "size", "vid", "values", "tokens", "times", F.coalesce("sampled", F.lit(0)).alias("sampled"))
+    return joined.mapInPandas(run, "node bigint, size bigint, vid bigint, far bigint, keys array<bigint>")
+
+
+def crowd_leaves(work: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(leaf, vid) members to compare within crowds (node, vid). ``sets``: (vid, values).
+
+    Every level, a large node is cut into blocks of ``block`` members, each with the member nearest
+    the centre: a star of copies around one text, or a group near its centre, is linked by these
+    comparisons. Its members then branch on; nodes of up to ``limit`` sets are compared whole. A set
+    is in one block per large node, in one frequent branch and in few rare ones of several members, so
+    the work grows in proportion to the crowd."""
+    out, key = [], F.xxhash64("vid")
     for level in range(s.levels + 1):
-        one = _described(nodes).groupBy("size", "total", "mixed").agg(F.min(F.struct("node", "major", "major_size")).alias("m"))
-        named = compact(one.select("size", F.col("m.node").alias("node"), "m.major", "m.major_size"))
-        here = compact(nodes.join(named, "node"))
-        small, outside = F.col("size") <= s.limit, F.col("size") - F.col("major_size")
-        dense = ~small & (outside * 2 <= s.limit)
-        out.append(here.where(small).select(F.col("node").alias("leaf"), "vid"))
-        blocks = F.ceil(F.col("major_size") / (s.limit - outside)).cast("int")
-        own = F.array(F.pmod(F.xxhash64("vid", F.lit(2)), blocks).cast("int"))
-        every = F.sequence(F.lit(0), blocks - 1)
-        dealt = here.where(dense).withColumn("block", F.explode(F.when(F.col("comp") == F.col("major"), own).otherwise(every)))
-        out.append(dealt.select(F.xxhash64("node", F.lit(-1), "block").alias("leaf"), "vid"))
-        stuck = F.coalesce(F.col("size") >= 0.7 * F.col("above"), F.lit(False)) | F.lit(level == s.levels)
-        out.append(_block_pairs(here.where(~small & ~dense & stuck), s))
-        grown = here.where(~small & ~dense & ~stuck)
-        if level == s.levels or grown.isEmpty():
+        sizes = work.groupBy("node").agg(F.count("*").alias("size"), F.sum(key.cast("decimal(38,0)")).alias("t"), F.bit_xor(key).alias("x")).where("size > 1")
+        one = compact(sizes.groupBy("size", "t", "x").agg(F.min("node").alias("node")).select("node", "size"))
+        here = compact(work.join(one, "node"))
+        out.append(here.where(F.col("size") <= s.limit).select(F.col("node").alias("leaf"), "vid"))
+        large = here.where(F.col("size") > s.limit)
+        if large.isEmpty():
             break
-        free = F.filter(F.array(*map(F.lit, range(s.spare))), lambda c: F.getbit(F.col("used"), c) == 0)
-        first = F.pmod(F.xxhash64("node", F.lit(0)), F.size("free"))
-        second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(1)), F.size("free") - 1), F.size("free"))
-        few = small_side(grown.select("vid").distinct())  # the sketches of large nodes only
-        sketches = compact(sketches.join(few, "vid"))
-        chosen = grown.withColumn("free", free).select(
-            "vid", "comp", "node", "used", F.col("size").alias("above"),
-            F.explode(F.array(*[F.get("free", k.cast("int")) for k in (first, second)])).alias("c"),
-        )
-        nodes = chosen.join(sketches, "vid").select(
-            "vid", "comp", "above", F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("c"))).alias("used"),
-            F.xxhash64("node", "c", F.get("sketch", F.lit(s.trees * s.depth) + F.col("c"))).alias("node"),
-        )
+        met = compact(_branched(large, sets, s))
+        blocks = F.ceil(F.col("size") / s.block).cast("int")
+        dealt = met.select("node", "vid", F.pmod(F.xxhash64("vid", F.lit(5)), blocks).cast("int").alias("block"))
+        nearest = met.groupBy("node", "size").agg(F.min(F.struct("far", "vid"))["vid"].alias("vid"))
+        every = nearest.select("node", "vid", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        out.append(dealt.unionByName(every).select(F.xxhash64("node", F.lit(-2), "block").alias("leaf"), "vid"))
+        work = met.select("node", "vid", F.explode("keys").alias("k")).select(F.xxhash64("node", "k").alias("node"), "vid")
     return reduce(DataFrame.unionByName, out)
 
 
-def _block_pairs(grown: DataFrame, s: Settings) -> DataFrame:
-    """Members of large nodes in blocks of about half the limit, one leaf per pair of blocks."""
-    blocks = F.ceil(F.col("size") * 2 / s.limit).cast("int")
-    own = F.pmod(F.xxhash64("vid", F.lit(3)), blocks).cast("int")
-    each = grown.select("node", "vid", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return each.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "vid").distinct()
-
-
 def linked(vids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Star edges (vid, smallest vid) of the components of one leaf under the exact links: 100 x
     intersection is at least ``percent`` x union on whole sets."""
@@ -212,20 +289,26 @@ def linked(vids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
     return edges
 
 
-def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Edges (a, b) between ids of the leaves. Whole sets are built again from the texts of the
-    members, which are found by a join that is broadcast only up to a checked number of ids."""
-    members = compact(members.distinct())
-    wanted = members.select("vid").distinct().join(sets.select("vid", "h"), "vid")
+def sets_of(vids: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
+    """(vid, values) Whole sets, built again from the texts of the given ids, which are found by a join
+    that is broadcast only up to a checked number of ids."""
+    wanted = vids.select("vid").distinct().join(sets.select("vid", "h"), "vid")
     keys = small_side(wanted.select(F.col("vid").alias("__v"), F.col("h").alias("__h")))
     rows = docs.join(keys, (F.col(doc_id) == F.col("__v")) & (F.xxhash64(text) == F.col("__h")))
     rows = rows.select(F.col("__v").alias("vid"), whole(text).alias("text"))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            yield pd.DataFrame({"vid": part["vid"], "values": [shingles(t, s.words).tobytes() for t in part["text"]]})
+            values = [shingles(t.as_py(), s.words).tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.binary())], ["vid", "values"])
 
-    found = rows.mapInPandas(build, "vid bigint, values binary")
+    return rows.mapInArrow(build, "vid bigint, values binary")
+
+
+def verified(members: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
+    """Edges (a, b) between ids of the leaves, by their whole sets."""
+    members = compact(members.distinct())
+    found = sets_of(members, docs, sets, doc_id, text, s)
     dealt = members.join(found, "vid").repartition("leaf").sortWithinPartitions("leaf", "vid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,8 +350,12 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seeded = compact(components(first))
     grouped = classes.join(seeded, F.col("vid") == F.col("id"), "left")
     grouped = compact(grouped.select("vid", "h", "sketch", F.coalesce("component", "vid").alias("comp")))
+    members, crowds = leaves(grouped, s)
+    if not crowds.isEmpty():
+        values = sets_of(crowds, docs, grouped, doc_id, text, s).dropDuplicates(["vid"])
+        members = members.unionByName(crowd_leaves(crowds, cut_lineage(values), s))
     edges = seeded.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(
-        compact(verified(leaves(grouped, s), docs, grouped, doc_id, text, s))
+        compact(verified(members, docs, grouped, doc_id, text, s))
     )
     same = full.join(classes.select("s1", "s2", "vid"), ["s1", "s2"]).select(F.col("id").alias("a"), F.col("vid").alias("b"))
     several = same.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,17 +34,18 @@ PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 class Encoder:
     """Ids of a byte-level BPE file of the ``tokenizers`` library as little-endian 32-bit bytes.
 
-    A text is cut at single spaces, over which no token of this pre-tokeniser reaches, and the ids of
-    each part under the file's own vocabulary are remembered (up to ``room`` parts). Texts with other
-    white space beside a space are encoded whole; texts that hold a special token go to the library."""
+    The file's own vocabulary is applied to pieces of a text that end before white space of one
+    character, over which no token reaches from the left, and the ids go to one growing buffer: what a
+    task holds beside a text and its ids is bounded. Texts that hold a special token go to the library,
+    which is opened when the first of them comes."""
 
-    _UNSAFE = re.compile(r" \s|\s |^\s|\s$")
+    _SINGLE = re.compile(r"(?<!\s)[ \t\n](?!\s|$)")
+    _STEP = 1 << 16
 
-    def __init__(self, path: str, room: int = 300_000) -> None:
+    def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -52,30 +54,31 @@ class Encoder:
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.parts = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.room = room
 
-    def _part(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        if ids is None:
-            ids = np.array(self.parts.encode_ordinary(part), "<u4").tobytes()
-            if len(self.known) < self.room:
-                self.known[part] = ids
-        return ids
+    def _with_special(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > self._STEP:
+            found = self._SINGLE.search(text, start + self._STEP)
+            if found is None:
+                break
+            yield text[start:found.start()]
+            start = found.start()
+        yield text[start:]
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self._UNSAFE.search(text):
-            return np.array(self.parts.encode_ordinary(text), "<u4").tobytes()
-        known, own = self.known, self._part
-        first, *rest = text.split(" ")
-        out = [own(first)] if first else []
-        for p in rest:
-            p = " " + p
-            ids = known.get(p)
-            out.append(own(p) if ids is None else ids)
-        return b"".join(out)
+            return self._with_special(text)
+        out = bytearray()
+        for piece in self._pieces(text):
+            out += self.parts.encode_to_numpy(piece, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return bytes(out)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -101,21 +104,23 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, tokenizer: str, capacity:
     """One row per piece of each document: its ids end with ``end_id``; only lengths and a checksum
     leave the task."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for part in batches:
             rows = []
-            for key, t in zip(part["__id"], part["__text"], strict=True):
-                ids = enc.encode(t) + end
+            for key, t in zip(part.column(0), part.column(1), strict=True):  # one text at a time as a string
+                ids, key = enc.encode(t.as_py()) + end, key.as_py()
                 rows += [
                     (key, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)]))
                     for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))
                 ]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(F.col(doc_id).cast("string").alias("__id"), whole(text).alias("__text"))
-    return source.mapInPandas(pieces, f"doc_id string, {PIECES}").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("__id"), whole(text).alias("__text"))
+    return source.mapInArrow(pieces, f"doc_id bigint, {PIECES}")
 
 
 # ---- decisions on counts ----------------------------------------------------------------------

@@ -3,11 +3,12 @@ softmax output, trained by stochastic gradient descent in numpy."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +18,17 @@ from draftlake.llm.common import whole
 @dataclass(frozen=True)
 class Settings:
     """``max_rows`` bounds the labelled rows the fit reads (those with the smallest hash of their id);
-    ``buckets`` and ``dim`` bound the model, which is the only thing that is broadcast. ``pad`` zero
-    vectors join every average, so a few words cannot decide a short text."""
+    ``max_bytes`` bounds the bucket shares of one such row (its most frequent buckets) and so what the
+    driver holds. ``buckets`` and ``dim`` bound the model, which is the only thing that is broadcast.
+    ``updates`` steps are made however many rows there are. ``pad`` zero vectors join every average, so
+    a few words cannot decide a short text."""
 
     buckets: int = 1 << 18
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4)
     max_rows: int = 4000
-    epochs: int = 8
+    max_bytes: int = 65_536
+    updates: int = 20_000
     rate: float = 0.5
     seed: int = 7
     pad: int = 40
@@ -43,8 +47,8 @@ def _mixed(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def features(data: bytes, s: Settings, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(place, bucket) of every feature of the text: words, whether a word repeats the one before
-    (word pairs that back off to two buckets), and character n-grams within a word and its
+    """(place, bucket) of every feature of the text: words, pairs of words, whether a word repeats the
+    one before (pairs that back off to two buckets), and character n-grams within a word and its
     neighbouring spaces. Places tell the document where several are joined by white space;
     ``begins`` are then the places where documents begin, which no pair of words crosses."""
     b = np.frombuffer(b" " + data + b" ", np.uint8)
@@ -65,6 +69,8 @@ def features(data: bytes, s: Settings, begins: np.ndarray | None = None) -> tupl
         later[first[first < len(starts)]] = False
         pair = np.flatnonzero(later)
         places.append(starts[pair])
+        found.append(_mixed(word[pair - 1] * np.uint32(0x9E3779B1) + (word[pair] ^ (word[pair] >> np.uint32(13))), s.buckets))
+        places.append(starts[pair])
         found.append((word[pair] == word[pair - 1]).astype(np.int32))
     gaps = np.r_[0, np.cumsum(space)]
     for n in s.sizes:
@@ -91,6 +97,13 @@ def counted(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (total[ids] / (total.sum() + s.pad)).astype(np.float32)
 
 
+def _frequent(ids: np.ndarray, share: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(ids) <= most:
+        return ids, share
+    kept = np.sort(np.lexsort((ids, -share))[:most])
+    return ids[kept], share[kept]
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np.ndarray:
     """Share of every bucket in the log odds of label 1, and the bias as last element.
 
@@ -104,11 +117,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np
         return np.r_[np.zeros(s.buckets), only].astype(np.float32)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim))
     out = np.zeros((2, s.dim))
-    steps, step = s.epochs * len(examples), 0
-    for _ in range(s.epochs):
-        for i in rng.permutation(len(examples)):
+    step = 0
+    while step < s.updates:
+        for i in rng.permutation(len(examples))[:s.updates - step]:
             ids, share, y = examples[i]
-            rate = s.rate * (1 - step / steps)
+            rate = s.rate * (1 - step / s.updates)
             hidden = share @ vectors[ids]
             z = out @ hidden + bias
             p = np.exp(z - z.max())
@@ -122,9 +135,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np
     return np.r_[vectors @ (out[1] - out[0]), bias[1] - bias[0]].astype(np.float32)
 
 
-def log_odds(texts: pd.Series, weights: np.ndarray, s: Settings) -> np.ndarray:
-    """Log odds of label 1 of whole texts. Short texts share one pass, long ones take several."""
-    sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
+def log_odds(texts: Iterable[str], number: int, weights: np.ndarray, s: Settings) -> np.ndarray:
+    """Log odds of label 1 of ``number`` whole texts. Short texts share one pass, long ones take several."""
+    sums, counts = np.zeros(number), np.zeros(number)
     pending, owners, size = [], [], 0
 
     def flush() -> None:
@@ -135,8 +148,8 @@ def log_odds(texts: pd.Series, weights: np.ndarray, s: Settings) -> np.ndarray:
             places, ids = features(b" ".join(pending), s, np.r_[0, ends[:-1]] + 1)
             # features() puts one space before; a place in the space between two texts is the later one's
             doc = np.asarray(owners)[np.minimum(np.searchsorted(ends, places, side="right"), len(owners) - 1)]
-            sums[:] += np.bincount(doc, weights[ids], len(texts))
-            counts[:] += np.bincount(doc, minlength=len(texts))
+            sums[:] += np.bincount(doc, weights[ids], number)
+            counts[:] += np.bincount(doc, minlength=number)
         pending, owners, size = [], [], 0
 
     for i, t in enumerate(texts):
@@ -153,15 +166,17 @@ def log_odds(texts: pd.Series, weights: np.ndarray, s: Settings) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, s: Settings, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Weights from labelled rows where ``allowed`` holds: at most ``max_rows`` of them, those with
-    the smallest hash of the id. Their texts become bucket shares in the tasks; the driver receives
+    the smallest hash of the id. Null labels, and ids with both labels, are left out; an id given twice
+    counts once. Their texts become bucket shares in the tasks; the driver receives
     these one partition at a time and runs the descent."""
-    known = labels.where(F.col(label).isin(0, 1) & allowed).select(F.col(doc_id).alias("__k"), F.col(label).cast("int").alias("label"))
+    given = labels.where(F.col(label).isin(0, 1) & allowed).select(F.col(doc_id).alias("__k"), F.col(label).cast("int").alias("label"))
+    known = given.groupBy("__k").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     chosen = known.orderBy(F.xxhash64("__k"), "__k", "label").limit(s.max_rows)
     rows = docs.select(F.col(doc_id).alias("__k"), whole(text).alias("text")).join(F.broadcast(chosen), "__k")
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            pairs = [counted(t.encode(), s) for t in part["text"]]
+            pairs = [_frequent(*counted(t.encode(), s), s.max_bytes // 8) for t in part["text"]]
             yield pd.DataFrame({"k": part["__k"], "label": part["label"], "ids": [a.tobytes() for a, _ in pairs], "share": [b.tobytes() for _, b in pairs]})
 
     found = rows.select("__k", "label", "text").mapInPandas(shares, "k bigint, label int, ids binary, share binary")
@@ -176,11 +191,12 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings, text: str = "text",
     of the bias alone; repeated rows are scored alike; an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
         for t in parts:
-            yield pd.Series(1 / (1 + np.exp(-log_odds(t, w, s))), dtype="float64")
+            yield pa.array(1 / (1 + np.exp(-log_odds((x.as_py() for x in t), len(t), w, s))), pa.float64())
+
+    probability = F.arrow_udf(probability, "double")
 
     return docs.withColumn(name, probability(whole(text)))
 

@@ -101,8 +101,8 @@ def test_features_do_not_depend_on_the_batch():
     s = quality_model.Settings(buckets=1 << 12)
     texts = [frames.CLEAN, "", " a a ", "ü日", "a " * 500, frames.prose(1, 200), "b"]
     w = np.random.default_rng(1).normal(size=s.buckets + 1).astype(np.float32)
-    one = [quality_model.log_odds(pd.Series([t]), w, s)[0] for t in texts]
-    assert np.allclose(quality_model.log_odds(pd.Series(texts), w, s), one, atol=1e-9)
+    one = [quality_model.log_odds([t], 1, w, s)[0] for t in texts]
+    assert np.allclose(quality_model.log_odds(texts, len(texts), w, s), one, atol=1e-9)
     for t, z in zip(texts, one, strict=True):
         ids, share = quality_model.counted(t.encode(), s)
         assert abs(share @ w[ids] + w[-1] - z) < 1e-4
@@ -112,7 +112,7 @@ def test_held_out_accuracy_and_leaks(spark):
     bad = lambda i: " ".join(x + "###" for x in frames.prose(i, 60).split())
     df = frames.frame(spark, [(i, bad(i) if i % 4 == 0 else frames.prose(i, 60)) for i in range(400)])
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(400)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    s = quality_model.Settings(buckets=1 << 14, epochs=4)
+    s = quality_model.Settings(buckets=1 << 14, updates=2_000)
     got = quality_model.classify(df, labels, settings=s).toPandas()
     assert all(q["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, q in zip(got.doc_id, got.quality, strict=True))
     held = got[got.quality.map(lambda q: q["held_out"])]
