@@ -16,7 +16,7 @@ from draftlake.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[^A-Za-z\x{C0}-\x{FF}]+"
-SYMBOLS = 8
+SYMBOLS = 10
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Keys of one step: bounds the memory of a task whatever the length of a word.
@@ -65,28 +65,26 @@ class Reduced:
     def own(self) -> np.ndarray:
         return _key(self.total[:, 0], self.length)
 
-    def neighbours(self, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, key) of the reduced word itself and of all reduced words one edit away, each once:
-        a deletion or insertion inside a run of one symbol counts at the begin of the run only."""
+    def neighbours(self, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(row, key, same) of the reduced words themselves (``same``) and of those one edit away. Of
+        two neighbours one makes the other: a replacement is made from the smaller symbol, a deletion from
+        the longer word, at the begin of a run of one symbol, so none is made twice."""
         rows, n = self.codes.shape
-        yield np.arange(rows), self.own()
+        yield np.arange(rows), self.own(), True
         every = np.arange(1, symbols + 1, dtype=np.uint64)
         before_it = np.hstack([np.zeros((rows, 1), np.uint64), self.codes])
         step = max(1, _STEP // (rows * symbols))
-        for a in range(0, n + 1, step):
+        for a in range(0, n, step):
             here, last = self.codes[:, a:a + step], before_it[:, a:a + step]
-            r, k, d = np.nonzero(here[:, :, None] != every)
-            yield r, _key(self.total[r, 0] + (every[d] - here[r, k]) * self.power[a + k], n)
+            r, k, d = np.nonzero(here[:, :, None] < every)
+            yield r, _key(self.total[r, 0] + (every[d] - here[r, k]) * self.power[a + k], n), False
             r, k = np.nonzero(here != last[:, :here.shape[1]])
             rest = self.total[r, 0] - self.before[r, a + k + 1]
-            yield r, _key(self.before[r, a + k] + rest * np.uint64(_INVERSE), n - 1)
-            r, k, d = np.nonzero(last[:, :, None] != every)
-            rest = self.total[r, 0] - self.before[r, a + k]
-            yield r, _key(self.before[r, a + k] + every[d] * self.power[a + k] + rest * np.uint64(_BASE), n + 1)
+            yield r, _key(self.before[r, a + k] + rest * np.uint64(_INVERSE), n - 1), False
 
 
 def _keyed(vocabulary: DataFrame, symbols: int, all_: bool) -> DataFrame:
-    """(key, vid) of the reduced words, or of their whole neighbourhoods."""
+    """(key, vid, same) of the reduced words, or of their neighbourhoods too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -98,24 +96,24 @@ def _keyed(vocabulary: DataFrame, symbols: int, all_: bool) -> DataFrame:
                     vid = some["vid"].to_numpy()
                     words = Reduced(reduced(some["word"].tolist(), symbols))
                     if all_:
-                        for row, key in words.neighbours(symbols):
-                            yield pd.DataFrame({"key": key, "vid": vid[row]})
+                        for row, key, same in words.neighbours(symbols):
+                            yield pd.DataFrame({"key": key, "vid": vid[row], "same": same})
                     else:
-                        yield pd.DataFrame({"key": words.own(), "vid": vid})
+                        yield pd.DataFrame({"key": words.own(), "vid": vid, "same": True})
 
-    return vocabulary.select("vid", "word").mapInPandas(run, "key bigint, vid bigint")
+    return vocabulary.select("vid", "word").mapInPandas(run, "key bigint, vid bigint, same boolean")
 
 
 def near_pairs(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(a, b) of all vids of ``vocabulary`` (vid, word) whose words differ by exactly one inserted,
     deleted or replaced code point, each pair in both orders.
 
-    Words one edit apart have reduced words at most one edit apart, so no pair is missed. A word meets
-    another through one key at most, since every neighbour is made once and every word has one
-    reduced form; only pairs with the smaller vid first are verified."""
+    Words one edit apart have reduced words at most one edit apart, so no pair is missed. Every pair
+    is met through one key and from one side: of two different reduced words one makes the other, and
+    words of one reduced word meet with the smaller vid first."""
     left = _keyed(vocabulary, symbols, True).withColumnRenamed("vid", "a")
     right = _keyed(vocabulary, symbols, False).select(F.col("key").alias("__k"), F.col("vid").alias("b"))
-    met = left.join(right, (F.col("key") == F.col("__k")) & (F.col("a") < F.col("b"))).select("a", "b")
+    met = left.join(right, (F.col("key") == F.col("__k")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
     first = vocabulary.select(F.col("vid").alias("a"), F.col("word").alias("wa"))
     second = vocabulary.select(F.col("vid").alias("b"), F.col("word").alias("wb"))
     pairs = met.join(first, "a").join(second, "b").where(F.levenshtein("wa", "wb", 1) == 1).select("a", "b")

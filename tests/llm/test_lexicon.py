@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations, product
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,18 +64,18 @@ def test_word_counts(spark):
     assert spelling.word_counts(frames.empty(spark)).count() == 0
 
 
-def test_neighbourhood_is_whole_and_each_once():
-    for word in ("aabbc", "abcde", "aaaaa", "zzyyxx"):
-        codes = spelling.reduced([word], 3)
-        made = np.concatenate([k for _, k in spelling.Reduced(codes).neighbours(3)])
-        c = codes[0].tolist()
-        want = {tuple(c)}
-        for i in range(len(c) + 1):
-            want |= {tuple(c[:i] + [d] + c[i:]) for d in (1, 2, 3)}
-            if i < len(c):
-                want |= {tuple(c[:i] + c[i + 1:])} | {tuple(c[:i] + [d] + c[i + 1:]) for d in (1, 2, 3)}
-        keys = {int(spelling.Reduced(np.array([w])).own()[0]) for w in want}
-        assert len(made) == len(want) and set(made.tolist()) == keys
+def test_neighbours_meet_once():
+    """Of two reduced words one edit apart exactly one makes the other, and nothing else is made."""
+    words = [tuple(w) for n in range(1, 6) for w in product((1, 2, 3), repeat=n)]
+    own = {w: int(spelling.Reduced(np.array([w])).own()[0]) for w in words}
+    assert len(set(own.values())) == len(words)
+    names, met = {k: w for w, k in own.items()}, Counter()
+    for w in words:
+        for _, keys, same in spelling.Reduced(np.array([w])).neighbours(3):
+            assert not same or keys.tolist() == [own[w]]
+            met.update(frozenset((w, names[k])) for k in keys.tolist() if not same and k in names)
+    assert set(met.values()) == {1}
+    assert set(met) == {frozenset((a, b)) for a, b in combinations(words, 2) if one_edit(a, b)}
 
 
 def test_variants_against_brute_force(spark, monkeypatch):
