@@ -149,3 +149,122 @@ def test_classifier(spark):
     odd = spark.createDataFrame([([9.0, 0.0, 0.0, 5.0],)], "x array<double>")
     r = scoring.score(odd, "x", model).first()
     assert r.outside == ["a"] and r.needs_review and abs(sum(r.probabilities.values()) - 1) < 1e-3
+
+
+PLAN_KEYS = ["plan_id"]
+
+
+def box(x, y, w, h):
+    return ring((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+
+
+def plan(plan_id, rooms=(), walls=(), openings=()):
+    """A plan document from short forms: rooms (id, ring, holes), walls (id, x0, y0, x1, y1), openings
+    (id, wall, offset, type)."""
+    number = lambda v: None if v is None else (float(v), "m", None, "extracted")
+    line = lambda a, b, c, d: ("segment", (float(a), float(b)), (float(c), float(d)), None, None, None, None)
+    return (
+        plan_id, "p", "dxf", [("L0", "Ground", 0.0, None)],
+        [(i, "L0", line(*at), number(0.2), number(3), 0.0, "interior") for i, *at in walls],
+        [(i, w, number(off), number(0.9), number(2), number(0), kind, None) for i, w, off, kind in openings],
+        [(i, "L0", r, list(h), None, None, None, None, None, False) for i, r, *h in rooms], [], [], [],
+    )
+
+
+def walled(x0, y0, x1, y1, prefix):
+    return [(f"{prefix}{k}", *s) for k, s in enumerate(((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0)))]
+
+
+def both_ways(spark, plans, most=2_000):
+    """Issues in the row and from exploded tables, which must agree."""
+    from draftlake.plans import nested
+    from draftlake.plans.schema import PLAN
+
+    df = spark.createDataFrame(plans, PLAN)
+    key = lambda r: (r.plan_id, r.code, r.severity, tuple(r.elements))
+    inner = sorted(map(key, nested.plan_issues(df, most=most).collect()))
+    outer = sorted(map(key, rules.all_issues(tb.explode_plan(df)).collect()))
+    assert inner == outer
+    return {(p, c, *e) for p, c, _, e in inner}
+
+
+def test_polygon_validity(spark):
+    sq, hole = box(0, 0, 4, 4), box(1, 1, 1, 1)
+    cases = {
+        "square": (sq, [], True), "closed": ([*sq, sq[0]], [], True), "repeat": ([sq[0], sq[0], *sq[1:]], [], True),
+        "bow": (ring((0, 0), (4, 4), (4, 0), (0, 4)), [], False), "pinch": (ring((0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)), [], False),
+        "spike": (ring((0, 0), (4, 0), (4, 4), (4, 6), (4, 4), (0, 4)), [], False), "flat": (ring((0, 0), (4, 0), (2, 0)), [], False),
+        "two": (ring((0, 0), (1, 1)), [], False), "none": ([], [], False), "null": (None, [], False),
+        "ell": (ring((0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)), [], True),
+        "touching side": (ring((0, 0), (4, 0), (4, 4), (2, 0), (0, 4)), [], False),
+        "hole": (sq, [hole], True), "no holes": (sq, None, True), "outside": (sq, [box(9, 9, 1, 1)], False),
+        "crossing": (sq, [box(3, 3, 2, 0.5)], False), "shared edge": (sq, [box(0, 1, 1, 1)], False), "hole bow": (sq, [ring((1, 1), (2, 2), (2, 1), (1, 2))], False),
+        "touching hole": (sq, [ring((0, 2), (1, 1), (1, 3))], True), "two holes": (sq, [hole, box(2.5, 2.5, 1, 1)], True),
+        "nested holes": (sq, [box(1, 1, 2, 2), box(1.5, 1.5, 0.5, 0.5)], False), "equal holes": (sq, [hole, hole], False),
+    }
+    from draftlake.functions.polygons import valid_polygon
+
+    point = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(k, p, h) for k, (p, h, _) in cases.items()], f"name string, polygon {point}, holes array<{point}>")
+    got = {r.name: r.ok for r in df.select("name", valid_polygon(F.col("polygon"), F.col("holes")).alias("ok")).collect()}
+    assert got == {k: ok for k, (_, _, ok) in cases.items()}
+
+
+def test_clean_plan_and_every_room_defect(spark):
+    outer = walled(0, 0, 8, 4, "w") + [("m", 4, 0, 4, 4)]
+    rooms = [("A", box(0.1, 0.1, 3.8, 3.8)), ("B", box(4.1, 0.1, 3.8, 3.8))]
+    doors = [("d1", "w0", 2, "door"), ("d2", "m", 2, "door"), ("v", "w1", 2, "window")]
+    bow = ring((0.1, 0.1), (3.9, 3.9), (3.9, 0.1), (0.1, 3.9))
+    plans = [
+        plan("clean", rooms, outer, doors),
+        plan("no way", rooms, outer, [doors[0], doors[2]]),
+        plan("no door", rooms, outer),
+        plan("no wall", rooms, outer[:4], doors[:1]),
+        plan("bow", [("A", bow), rooms[1]], outer, doors),
+        plan("overlap", [rooms[0], ("B", ring((3, 0.1), (7.9, 0.1), (7.9, 3.9), (3.5, 3.9)))], outer, doors),
+        plan("one", rooms[:1], outer, []), plan("empty"),
+    ]
+    got = both_ways(spark, plans)
+    assert {x for x in got if x[0] == "clean"} == set() and not [x for x in got if x[0] in ("one", "empty")]
+    assert {x for x in got if x[0] == "no way"} == {("no way", "ROOM_UNREACHABLE", "B")}
+    assert {x for x in got if x[0] == "no door"} == {("no door", "ROOM_UNREACHABLE", "B")}
+    assert {x[1:] for x in got if x[0] == "no wall"} >= {("ROOM_OPEN", "A"), ("ROOM_OPEN", "B"), ("ROOM_UNREACHABLE", "B")}
+    assert ("bow", "ROOM_INVALID_POLYGON", "A") in got and not [x for x in got if x[0] == "bow" and x[1] in ("ROOMS_OVERLAP", "ROOM_TOO_SMALL")]
+    assert ("overlap", "ROOMS_OVERLAP", "A", "B") in got
+    assert both_ways(spark, plans, most=3) == got  # larger plans go through the exploded tables
+
+
+def brute_open(poly, walls, step=1e-3):
+    """Length of the ring outside all bands, on a fine grid."""
+    out = 0.0
+    for (ax, ay), (bx, by) in zip(poly, poly[1:] + poly[:1]):
+        n = max(1, int(math.hypot(bx - ax, by - ay) / step))
+        for k in range(n):
+            x, y = ax + (bx - ax) * (k + 0.5) / n, ay + (by - ay) * (k + 0.5) / n
+            for x0, y0, x1, y1, t in walls:
+                size = (x1 - x0) ** 2 + (y1 - y0) ** 2
+                u = min(1.0, max(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / size if size else 0.0))
+                if math.hypot(x - x0 - u * (x1 - x0), y - y0 - u * (y1 - y0)) <= t / 2 + 0.03:
+                    break
+            else:
+                out += math.hypot(bx - ax, by - ay) / n
+    return out
+
+
+def test_open_boundary_is_exact(spark):
+    rng = np.random.default_rng(7)
+    walls_, rooms_, want = [], [], {}
+    for p in range(12):
+        poly = [tuple(map(float, rng.uniform(0, 9, 2))) for _ in range(5)]
+        walls = [(*map(float, rng.uniform(0, 9, 4)), float(rng.uniform(0.05, 2))) for _ in range(6)] + [(2.0, 2.0, 2.0, 2.0, 1.0)]
+        rooms_.append((f"p{p}", "r", "L0", [{"x": x, "y": y} for x, y in poly]))
+        for k, (x0, y0, x1, y1, t) in enumerate(walls):
+            walls_.append((f"p{p}", f"w{k}", "L0", ("segment", (x0, y0), (x1, y1), None, None, None, None), (t, "m", None, "x"), None))
+        want[f"p{p}"] = brute_open(poly, walls)
+    rooms = spark.createDataFrame(rooms_, "plan_id string, id string, level string, polygon array<struct<x:double,y:double>>")
+    got = {r.plan_id: r.open_m for r in rules.open_boundary(rooms, spark.createDataFrame(walls_, WALLS)).collect()}
+    assert all(got[p] == pytest.approx(v, abs=0.02) for p, v in want.items())
+    exact = spark.createDataFrame([("q", "w", "L0", ("segment", (0.0, 0.0), (1.0, 0.0), None, None, None, None), (0.2, "m", None, "x"), None)], WALLS)
+    side = spark.createDataFrame([("q", "r", "L0", [{"x": -1.0, "y": 0.05}, {"x": 3.0, "y": 0.05}])], rooms.schema)
+    reach = math.sqrt(0.13 ** 2 - 0.05 ** 2)
+    assert rules.open_boundary(side, exact).first().open_m == pytest.approx(2 * (4 - 1 - 2 * reach), abs=1e-9)
