@@ -331,3 +331,52 @@ def nested_run_view(t: Tables) -> DataFrame:
     bundles = t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("bundle_id"), F.col("l_shipdate").alias("created_at"))
     text = F.transform(F.coalesce("gates", F.array().cast("array<struct<gate:int,status:string>>")), lambda g: F.concat(g["gate"].cast("string"), F.lit(":"), g["status"]))
     return op.run_view(runs, gates, bundles).select("run_id", F.array_join(text, ",").alias("gates"), "bundle_id")
+
+
+@query(
+    "pair_consensus",
+    """
+    WITH r AS (SELECT DISTINCT l_suppkey AS k, l_linenumber * 100 + l_partkey % 30 AS p, 1 + l_quantity * CAST(0.0037 AS DOUBLE) AS x FROM lineitem),
+    h AS (SELECT a.k, a.x AS r, b.p, arg_min(b.x, round(abs(b.x - a.x), 9) + b.x * 1e-12) AS x FROM (SELECT DISTINCT k, x FROM r) a JOIN r b ON a.k = b.k AND abs(b.x - a.x) / a.x <= 0.01 GROUP BY ALL),
+    c AS (SELECT k, r, count(*) AS c, CASE WHEN count(*) > 1 THEN round(stddev_pop(x) / avg(x), 6) ELSE 1.0 END AS s FROM h GROUP BY ALL),
+    w AS (SELECT k, r FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, s, r) = 1),
+    i AS (SELECT h.k, h.x FROM h JOIN w ON h.k = w.k AND h.r = w.r),
+    m AS (SELECT k, median(x) AS value, count(*) AS n FROM i GROUP BY k),
+    d AS (SELECT i.k, median(abs(x - value)) AS mad FROM i JOIN m USING (k) GROUP BY ALL)
+    SELECT k, round(value, 6) AS value, round(CASE WHEN n > 1 THEN greatest(0.002, 1.4826 * mad / value / sqrt(n)) ELSE 0.08 END, 6) AS rel_sigma, n AS inliers
+    FROM m JOIN d USING (k)
+    """,
+)
+def pair_consensus(t: Tables) -> DataFrame:
+    """AGG-5: the ratio most pairs of a supplier agree on, a pair of line number and class of part counting once."""
+    r = t.lineitem.select(
+        F.col("l_suppkey").alias("k"), (F.col("l_linenumber") * 100 + F.col("l_partkey") % 30).alias("p"), (F.lit(1.0) + F.col("l_quantity") * 0.0037).alias("ratio")
+    )
+    out = op.consensus_of_pairs(r, ["k"], "p")
+    return out.select("k", F.round("value", 6).alias("value"), F.round("rel_sigma", 6).alias("rel_sigma"), "inliers")
+
+
+STAGES = [(1, 2), (2, 3), (3, 5), (4, 6), (5, 7), (2, 6)]
+
+
+@query(
+    "stages_to_run",
+    """
+    WITH RECURSIVE g(a, b) AS (VALUES (1, 2), (2, 3), (3, 5), (4, 6), (5, 7), (2, 6)),
+    c(a, b) AS (SELECT x, x FROM range(1, 8) r(x) UNION SELECT c.a, g.b FROM c JOIN g ON g.a = c.b),
+    hit AS (SELECT l_orderkey AS k, l_linenumber AS cause FROM lineitem GROUP BY ALL HAVING bool_or(l_returnflag = 'R') OR min(l_shipdate) >= '1997-01-01')
+    SELECT k AS order_id, b AS stage, array_to_string(list_sort(list(DISTINCT cause)), ',') AS causes FROM hit JOIN c ON c.a = cause
+    JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l ON l_orderkey = k AND l_linenumber = b GROUP BY 1, 2
+    """,
+)
+def stages_to_run(t: Tables) -> DataFrame:
+    """AGG-9, STR-6: lines as stages of their order; a returned line has another key than before, a
+    late one is new, and all stages behind them run again."""
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("stage")).agg(
+        F.bool_or(F.col("l_returnflag") == "R").alias("returned"), F.min("l_shipdate").alias("shipped")
+    )
+    before = rows.filter("shipped < '1997-01-01'").select("order_id", "stage", F.lit("a").alias("cache_key"))
+    after = rows.select("order_id", "stage", F.when(F.col("returned"), "b").otherwise("a").alias("cache_key"))
+    graph = t.spark.createDataFrame(STAGES, "stage int, next int")
+    out = op.rerun_stages(before, after, graph, ["order_id"])
+    return out.select("order_id", F.col("stage").cast("bigint").alias("stage"), F.array_join(F.col("causes").cast("array<string>"), ",").alias("causes"))

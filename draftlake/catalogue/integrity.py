@@ -292,3 +292,19 @@ def redacted_text(t: Tables) -> DataFrame:
         F.sum(F.length("text")).alias("chars"),
         F.min(F.sha2("text", 256)).alias("first_hash"),
     )
+
+
+@query(
+    "reused_versions",
+    """
+    WITH v AS (SELECT p_size AS project, p_partkey AS id, p_partkey % 7 AS number, p_brand || p_type AS content, p_partkey % 3 > 0 AS kept FROM part),
+    s AS (SELECT project, content, max(number * 1000000000 + id) % 1000000000 AS version FROM v WHERE kept GROUP BY ALL)
+    SELECT v.id AS part, s.version FROM v LEFT JOIN s ON s.project = v.project AND s.content = v.content WHERE NOT kept
+    """,
+)
+def reused_versions(t: Tables) -> DataFrame:
+    """DED-8: new parts meet the newest stored one of equal brand and type in their size class."""
+    f = op.content_fingerprint(t.part.select("p_brand", "p_type", "p_partkey", "p_size"), exclude=["p_partkey", "p_size"], name="plan_sha256")
+    rows = f.select(F.col("p_size").alias("project_id"), "plan_sha256", F.col("p_partkey").alias("id"), F.struct(F.col("p_partkey") % 7, "p_partkey").alias("number"))
+    stored = rows.filter("id % 3 > 0").withColumn("origin", F.lit("extraction"))
+    return op.reuse_versions(rows.filter("id % 3 = 0").select("project_id", "plan_sha256", "id"), stored).select(F.col("id").alias("part"), F.col("version_id").alias("version"))

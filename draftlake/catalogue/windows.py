@@ -275,3 +275,30 @@ def last_assumption(t: Tables) -> DataFrame:
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"),
     )
     return op.last_assumption(items, t.part.select(F.col("p_partkey").alias("key"), F.col("p_type").alias("value")))
+
+
+@query(
+    "wall_groups",
+    """
+    WITH RECURSIVE p AS (
+      SELECT o_custkey AS k, o_orderkey AS id, o_orderkey % 4 * CAST(0.5 AS DOUBLE) AS a, o_orderkey // 4 % 9 * CAST(0.02 AS DOUBLE) AS o,
+        CASE WHEN o_orderstatus = 'F' THEN 0.2 ELSE 0.25 END::DOUBLE AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n
+      FROM orders
+    ), r AS (
+      SELECT k, n, [{'id': id, 'a': a, 'o': o, 't': t}] AS leads, id, id AS line FROM p WHERE n = 1
+      UNION ALL
+      SELECT k, n, CASE WHEN hit IS NULL THEN list_append(leads, {'id': id, 'a': a, 'o': o, 't': t}) ELSE leads END, id, coalesce(hit.id, id) FROM (
+        SELECT p.*, r.leads, list_filter(r.leads, lambda s: abs(s.a - p.a) < 0.8 AND abs(s.o - p.o) < 0.025 AND abs(s.t - p.t) < 0.025)[1] AS hit
+        FROM r JOIN p ON p.k = r.k AND p.n = r.n + 1)
+    )
+    SELECT k AS plan, id AS piece_id, line AS line_id FROM r
+    """,
+)
+def wall_groups(t: Tables) -> DataFrame:
+    """WIN-7: the orders of a customer as wall pieces, gathered around the longest."""
+    key = F.col("o_orderkey")
+    rows = t.orders.select(
+        F.col("o_custkey").alias("plan"), key.alias("piece_id"), F.col("o_totalprice").alias("length"), (key % 4 * 0.5).alias("angle_deg"),
+        (F.floor(key / 4) % 9 * 0.02).alias("offset"), F.when(F.col("o_orderstatus") == "F", 0.2).otherwise(0.25).alias("thickness"),
+    )
+    return op.wall_groups(rows, ["plan"]).select("plan", "piece_id", "line_id")

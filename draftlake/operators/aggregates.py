@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from draftlake.functions.numeric import n_rows
 from draftlake.functions.numeric import circular_error, percent_text
-from draftlake.functions.ordered import attach, median, weighted_median
+from draftlake.functions.ordered import attach, median, scan, weighted_median
+from draftlake.session import cut_lineage
 
 # Estimate limits of the scale fusion.
 PRECISE_SIGMA = 0.01
@@ -166,6 +167,59 @@ def consensus_ratio(
     inliers = attach(readings.filter(F.col(ratio) > 0), best, keys).filter(
         F.abs(F.col(ratio) - F.col("__best")) / F.col("__best") <= tol
     )
+    return _agreed(inliers, keys, ratio)
+
+
+def consensus_of_pairs(
+    readings: DataFrame, keys: Sequence[str], pair: str, ratio: str = "ratio", tol: float = 0.01
+) -> DataFrame:
+    """Ratio supported by most pairs per key, where a pair (a dimension string and its line) has
+    several readings and counts once, with the reading closest to the hypothesis: (value, rel_sigma,
+    inliers). Choice and result as in ``consensus_ratio``; of two equally close readings the smaller.
+
+    A reading is the closest of its pair for the hypotheses between the middles to its neighbours, so
+    it supports one interval of hypotheses and intervals of a pair do not overlap. Intervals enter and
+    leave in one ordered scan that carries count, sum and sum of squares; sums are decimals, so that
+    what entered leaves without a rest."""
+    keys = list(keys)
+    x = F.col(ratio)
+    log = lambda v: F.log(v) * 1e12
+    points = readings.filter(x > 0).select(*keys, pair, ratio).distinct()
+    own = W.partitionBy(*keys, pair).orderBy(ratio)
+    middle = lambda other: log((x + other) / 2)
+    spans = points.select(*keys, ratio, F.lag(ratio).over(own).alias("__prev"), F.lead(ratio).over(own).alias("__next"))
+    low, high = F.floor(log(x / (1 + tol))), F.ceil(log(x / (1 - tol)))
+    spans = spans.select(
+        *keys, ratio, F.greatest(low, F.round(middle(F.col("__prev")))).cast("bigint").alias("lo"),
+        F.least(high, F.round(middle(F.col("__next")))).cast("bigint").alias("hi"),
+        (F.col("__prev").isNotNull() & (F.round(middle(F.col("__prev"))) >= low)).alias("after"),
+    ).filter("lo <= hi")
+    exact, square = x.cast("decimal(24,12)"), (x * x).cast("decimal(30,16)")
+    # at one place: what enters, then hypotheses, then what leaves or enters behind the place
+    enter = spans.select(*keys, F.col("lo").alias("at"), F.when(F.col("after"), 2).otherwise(0).alias("turn"), F.lit(None).cast("double").alias("h"),
+                         F.lit(1).alias("n"), exact.alias("s1"), square.alias("s2"))
+    leave = spans.select(*keys, F.col("hi").alias("at"), F.lit(2).alias("turn"), F.lit(None).cast("double").alias("h"),
+                         F.lit(-1).alias("n"), (-exact).cast("decimal(24,12)").alias("s1"), (-square).cast("decimal(30,16)").alias("s2"))
+    ask = points.select(*keys, ratio).distinct().select(
+        *keys, F.round(log(x)).cast("bigint").alias("at"), F.lit(1).alias("turn"), x.cast("double").alias("h"), F.lit(0).alias("n"),
+        F.lit(0).cast("decimal(24,12)").alias("s1"), F.lit(0).cast("decimal(30,16)").alias("s2"),
+    )
+    events = enter.unionByName(leave).unionByName(ask)
+    swept = scan(
+        events, keys, ["at", "turn", "h"], F.floor(F.col("at") / 1e10).cast("bigint"),
+        running_sum={"cnt": F.col("n"), "t1": F.col("s1"), "t2": F.col("s2")},
+    ).filter("h is not null")
+    mean, meansq = F.col("t1").cast("double") / F.col("cnt"), F.col("t2").cast("double") / F.col("cnt")
+    spread = F.when(F.col("cnt") > 1, F.round(F.sqrt(F.greatest(meansq - mean * mean, F.lit(0.0))) / mean, 6)).otherwise(1.0)
+    best = swept.groupBy(*keys).agg(F.max_by("h", F.struct("cnt", -spread, -F.col("h"))).alias("__best"))
+    away = F.abs(x - F.col("__best"))
+    near = attach(points, best, keys).filter(away / F.col("__best") <= tol + 1e-12)
+    inliers = near.groupBy(*keys, pair).agg(F.min_by(ratio, F.struct(F.round(away / F.col("__best"), 12).alias("away"), x.alias("x"))).alias(ratio))
+    return _agreed(inliers, keys, ratio)
+
+
+def _agreed(inliers: DataFrame, keys: list[str], ratio: str) -> DataFrame:
+    """Median of the inliers and its relative uncertainty from their MAD; 0.08 for a single one."""
     value = median(inliers, keys, ratio, "value")
     dev = attach(inliers, value.select(*keys, "value"), keys).withColumn("__dev", F.abs(F.col(ratio) - F.col("value")))
     mad = median(dev, keys, "__dev", "__mad").drop("n")
@@ -270,12 +324,43 @@ def stage_timings(runs: DataFrame, keys: Sequence[str] = ("stage",)) -> DataFram
     )
 
 
-def rerun_stages(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stages whose key changed between two runs."""
+def changed_stages(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stages of a run whose key is new or differs from the run before."""
     b = before.select(*keys, F.col("cache_key").alias("__b"))
     return after.join(b, list(keys), "left").filter(~F.col("cache_key").eqNullSafe(F.col("__b"))).drop("__b")
 
 
+def stages_behind(graph: DataFrame) -> DataFrame:
+    """(stage, behind) All stages that use a stage's result, directly or over others, and the stage
+    itself; ``graph`` has (stage, next). The reach doubles per round, so a chain of n takes log2(n)
+    joins and circles end; the table is bounded by the square of the stages, whatever the projects."""
+    edges = graph.select("stage", F.col("next").alias("behind")).where("stage is not null and next is not null").distinct()
+    ends = edges.select("stage").union(edges.select("behind")).distinct()
+    reach = cut_lineage(edges.union(ends.select("stage", F.col("stage").alias("behind"))).distinct())
+    size = reach.count()
+    while True:
+        on = reach.select(F.col("stage").alias("__mid"), F.col("behind").alias("__far"))
+        reach = cut_lineage(reach.join(on, F.col("behind") == F.col("__mid")).select("stage", F.col("__far").alias("behind")).distinct())
+        grown = reach.count()
+        if grown == size:
+            return reach
+        size = grown
+
+
+def rerun_stages(before: DataFrame, after: DataFrame, graph: DataFrame, keys: Sequence[str], stage: str = "stage") -> DataFrame:
+    """(keys…, stage, causes) of the stages to run again: those whose key changed and all behind them
+    in ``graph`` (stage, next) that the run has; ``causes`` are the changed stages they depend on.
+    ``keys`` name the project or run, without the stage."""
+    keys = list(keys)
+    changed = changed_stages(before, after, [*keys, stage]).select(*keys, F.col(stage).alias("__cause"))
+    behind = stages_behind(graph).select(F.col("stage").alias("__from"), F.col("behind").alias("__to"))
+    met = changed.join(behind, F.col("__cause") == F.col("__from"), "left").select(
+        *keys, F.coalesce("__to", "__cause").alias(stage), "__cause"
+    )
+    causes = met.groupBy(*keys, stage).agg(F.sort_array(F.collect_set("__cause")).alias("causes"))
+    return causes.join(after.select(*keys, stage).distinct(), [*keys, stage], "left_semi")
+
+
 def target_verdict(
     rows: DataFrame, targets: DataFrame, source: str, at_least: Sequence[str], at_most: Sequence[str]
 ) -> DataFrame:

@@ -272,21 +272,51 @@ def interval_gaps(spans: DataFrame, keys: Sequence[str], max_gap: float = 3.0, i
 
 
 def wall_groups(pieces: DataFrame, keys: Sequence[str], angle: float = 0.8, step: float = 0.025) -> DataFrame:
-    """Adds ``line_id`` to collinear pieces of equal thickness. Direction, offset and thickness are
-    sorted and chained where neighbours differ by less than the tolerance, one attribute after the
-    other, instead of growing clusters from the longest piece; equal on clearly separated walls."""
-    keys, out = list(keys), pieces
-
-    def chained(df: DataFrame, by: list[str], attr: str, tol: float, name: str) -> DataFrame:
-        return gap_islands(
-            df, by, [attr, "piece_id"], magnitude_block(F.col(attr)), F.col(attr),
-            lambda before: F.col(attr) - before < tol, name=name,
-        )
-
-    for name, attr, tol in (("__ga", "angle_deg", angle), ("__go", "offset", step), ("__gt", "thickness", step)):
-        out = chained(out, keys, attr, tol, name)
-        keys = [*keys, name]
-    return out.withColumn("line_id", F.concat_ws("-", "__ga", "__go", "__gt")).drop("__ga", "__go", "__gt")
+    """Adds ``line_id`` to pieces (piece_id, length, angle_deg, offset, thickness): the piece that leads
+    their line. From the longest piece down (ties by piece_id), a piece joins the longest leader whose
+    direction, offset and thickness differ by less than the tolerances, or leads a new line.
+
+    Rounds over whole tables: the longest open piece of a cell and all cells around it leads, since no
+    leader still to come can take it in; open pieces that it takes in are done. Cells are as wide as the
+    tolerances, a cell sends one row, and each neighbourhood has one new leader per round, so no pairs
+    of pieces are made. Leaders of a null direction, offset or thickness stand alone."""
+    keys, tol = list(keys), {"angle_deg": angle, "offset": step, "thickness": step}
+    cell = {f"__c{i}": F.floor(F.col(a) / t).cast("bigint") for i, (a, t) in enumerate(tol.items())}
+    rank = F.struct((-F.col("length")).alias("less"), F.col("piece_id").alias("piece_id")).alias("__rank")
+    whole = F.lit(True)
+    for a in tol:
+        whole = whole & F.col(a).isNotNull()
+    base = cut_lineage(pieces.filter(whole).select(*keys, *tol, rank, F.struct(*keys, *[c.alias(n) for n, c in cell.items()]).alias("__at")))
+
+    def around(df: DataFrame) -> DataFrame:
+        """Every row in its cell and the cells around it."""
+        out = df
+        for i, n in enumerate(cell):
+            out = out.withColumn(f"__d{i}", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])))
+        moved = [(F.col("__at")[n] + F.col(f"__d{i}")).alias(n) for i, n in enumerate(cell)]
+        return out.withColumn("__near", F.struct(*[F.col("__at")[k].alias(k) for k in keys], *moved)).drop(*[f"__d{i}" for i in range(len(cell))])
+
+    def taken(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        lead = around(leaders).select(F.col("__near").alias("__cell"), F.col("__rank").alias("__lead"), *[F.col(a).alias(f"__l_{a}") for a in tol])
+        close = F.col("__lead") <= F.col("__rank")
+        for a, t in tol.items():
+            close = close & (F.abs(F.col(a) - F.col(f"__l_{a}")) < t)
+        return rows.join(lead, (F.col("__at") == F.col("__cell")) & close)
+
+    open_, leaders = base, None
+    while not open_.isEmpty():
+        first = cut_lineage(open_.groupBy("__at").agg(F.min("__rank").alias("__rank")))
+        least = around(first).groupBy("__near").agg(F.min("__rank").alias("__least"))
+        new = first.join(least, (F.col("__at") == F.col("__near")) & (F.col("__rank") == F.col("__least"))).select("__at", "__rank")
+        named = new.select(F.col("__rank").alias("__r"))
+        led = cut_lineage(open_.join(named, F.col("__rank") == F.col("__r"), "left_semi"))
+        leaders = led if leaders is None else leaders.unionByName(led)
+        gone = taken(open_, led).select(F.col("__rank").alias("__r"))
+        open_ = cut_lineage(open_.join(gone, F.col("__rank") == F.col("__r"), "left_anti"))
+    if leaders is None:
+        return pieces.withColumn("line_id", F.col("piece_id"))
+    led = taken(base, leaders).groupBy("__rank").agg(F.min("__lead")["piece_id"].alias("__line")).select(F.col("__rank")["piece_id"].alias("__p"), "__line")
+    return pieces.join(led, F.col("piece_id") == F.col("__p"), "left").withColumn("line_id", F.coalesce("__line", "piece_id")).drop("__p", "__line")
 
 
 def overlapping_neighbours(

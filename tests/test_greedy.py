@@ -4,6 +4,8 @@ import json
 import math
 import random
 
+import numpy as np
+
 from draftlake.operators import joins, windows
 
 
@@ -151,3 +153,22 @@ def test_tags_to_openings(spark):
     openings = spark.createDataFrame([("p", "a", "door", 0.5, 0.0), ("p", "b", "door", 5.2, 5.0), ("p", "c", "window", 1.0, 0.0), ("p", "d", "door", 5.0, 6.0)], "plan string, opening_id string, type string, x double, y double")
     got = {(r.opening_id, r.tag) for r in joins.assign_tags(texts, openings, ["plan"]).collect()}
     assert got == {("b", "K1"), ("c", "P2")}
+
+
+def test_wall_groups_grow_from_the_longest(spark):
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for k in range(8):
+        drift = np.cumsum(rng.uniform(0, 0.02, 40)) if k % 2 else rng.uniform(0, 0.3, 40)  # pieces that drift slowly do not chain
+        group = [(k, k * 100 + i, float(rng.integers(1, 6)), float(rng.uniform(88, 92)), float(d), float(rng.choice([0.1, 0.11, 0.2]))) for i, d in enumerate(drift)]
+        rows += group
+        leaders = []
+        for _, i, _, a, o, t in sorted(group, key=lambda r: (-r[2], r[1])):
+            hit = next((x for x in leaders if abs(x[1] - a) < 0.8 and abs(x[2] - o) < 0.025 and abs(x[3] - t) < 0.025), None)
+            if hit is None:
+                leaders.append(hit := (i, a, o, t))
+            want[i] = hit[0]
+    rows += [(9, 900, 1.0, None, 0.0, 0.1), (9, 901, 1.0, None, 0.0, 0.1)]
+    df = spark.createDataFrame(rows, "plan int, piece_id int, length double, angle_deg double, offset double, thickness double")
+    got = {r.piece_id: r.line_id for r in windows.wall_groups(df, ["plan"]).collect()}
+    assert got == {**want, 900: 900, 901: 901}
+    assert windows.wall_groups(df.filter("plan < 0"), ["plan"]).count() == 0

@@ -107,3 +107,45 @@ def test_one_exchange_of_the_large_side(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def brute_consensus(pairs, tol=0.01):
+    """pairs: lists of readings; the hypothesis most pairs support with their closest reading."""
+    best = None
+    for r in sorted({v for p in pairs for v in p}):
+        near = [min(h, key=lambda v: (abs(v - r), v)) for p in pairs if (h := [v for v in p if abs(v - r) / r <= tol])]
+        spread = round(float(np.std(near) / np.mean(near)), 6) if len(near) > 1 else 1.0
+        if best is None or (-len(near), spread, r) < best[0]:
+            best = ((-len(near), spread, r), near)
+    return len(best[1]), float(np.median(best[1]))
+
+
+def test_consensus_of_pairs(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k in range(60):
+        pairs = []
+        for p in range(int(rng.integers(1, 12))):
+            at = float(rng.choice([1.0, 1.2, 2.0]))
+            near = [round(at * (1 + float(rng.normal(0, 0.006))), 6) for _ in range(int(rng.integers(1, 5)))]
+            pairs.append(sorted(set(near)))
+            rows += [(k, f"p{p}", v) for v in near]
+        want[k] = brute_consensus(pairs)
+    rows += [(99, "a", 0.0), (99, "a", None), (98, "a", 1.0), (98, "a", 1.005), (98, "a", 1.005), (98, "b", 1.004)]
+    df = spark.createDataFrame(rows, "k int, p string, ratio double")
+    got = {r.k: (r.inliers, r.value) for r in agg.consensus_of_pairs(df, ["k"], "p").collect()}
+    assert set(got) == {*want, 98} and got[98] == (2, 1.0045)  # two readings of one string count once
+    for k, (n, value) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - value) < 1e-9
+    assert agg.consensus_of_pairs(df.filter("k < 0"), ["k"], "p").count() == 0
+
+
+def test_rerun_stages(spark):
+    graph = spark.createDataFrame([(f"s{i}", f"s{i + 1}") for i in range(40)] + [("s40", "x"), ("x", "s40"), (None, "s1")], "stage string, next string")
+    before = spark.createDataFrame([("p", f"s{i}", "k") for i in range(41)] + [("q", "s1", "k"), ("q", "s2", None)], "run string, stage string, cache_key string")
+    after = spark.createDataFrame(
+        [("p", f"s{i}", "k" if i not in (3, 38) else "new") for i in range(41)] + [("p", "x", None), ("q", "s1", "k"), ("q", "s2", None), ("q", "alone", "k")],
+        "run string, stage string, cache_key string",
+    )
+    got = {(r.run, r.stage): r.causes for r in agg.rerun_stages(before, after, graph, ["run"]).collect()}
+    assert got[("p", "s37")] == ["s3"] and got[("p", "s40")] == ["s3", "s38"]
+    assert set(got) == {("p", f"s{i}") for i in range(3, 41)} | {("p", "x"), ("q", "alone")}
