@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: State store that streams with timers and several states per key need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def local_session(name: str = "draftlake", cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -26,6 +28,7 @@ def local_session(name: str = "draftlake", cores: str = "8", memory: str = "8g")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(CHECKPOINT_KEY, folder)
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
