@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.numeric import n_rows
@@ -128,21 +128,49 @@ def unanimous_vote(t: Tables) -> DataFrame:
     return op.unanimous_vote(t.lineitem, ["l_orderkey"], "l_linenumber", "l_returnflag")
 
 
+BOXES_SQL = """
+    b AS (SELECT label AS page_id, vec_id * 12 + i AS box_id, 'w' || ((vec_id + i) % 3) AS text, round(abs(CAST(embedding[5 * i + 5] AS DOUBLE)), 6) AS c,
+      round(CAST(embedding[5 * i + 1] AS DOUBLE) * 4000, 3) AS x0, round(CAST(embedding[5 * i + 2] AS DOUBLE) * 4000, 3) AS y0,
+      round(abs(CAST(embedding[5 * i + 3] AS DOUBLE)) * 100, 3) AS dx, round(abs(CAST(embedding[5 * i + 4] AS DOUBLE)) * 100, 3) AS dy FROM embeddings, range(12) r(i)),
+    o AS (SELECT page_id, box_id, text, c, x0, y0, x0 + 30 + dx AS x1, y0 + 20 + dy AS y1, row_number() OVER (PARTITION BY page_id ORDER BY c DESC, box_id) AS n FROM b)
+"""
+
+
 def embedded_boxes(t: Tables) -> DataFrame:
-    e = lambda i: F.col("embedding")[i].cast("double")
-    x, y = F.round(e(0) * 400, 3), F.round(e(1) * 400, 3)
-    return t.embeddings.select(
-        F.col("label").alias("page_id"), F.col("vec_id").alias("box_id"),
-        F.concat(F.lit("w"), F.col("vec_id") % 3).alias("text"), F.round(F.abs(e(4)), 6).alias("confidence"),
-        x.alias("x0"), y.alias("y0"),
-        (x + 30 + F.round(F.abs(e(2)) * 100, 3)).alias("x1"), (y + 20 + F.round(F.abs(e(3)) * 100, 3)).alias("y1"),
-    )
+    """Twelve boxes of five components each from every vector."""
+    e = F.col("embedding")
+
+    def box(i: Column) -> Column:
+        at = lambda k: F.get(e, i * 5 + k).cast("double")
+        x, y = F.round(at(0) * 4000, 3), F.round(at(1) * 4000, 3)
+        return F.struct(
+            (F.col("vec_id") * 12 + i).alias("box_id"), F.concat(F.lit("w"), (F.col("vec_id") + i) % 3).alias("text"),
+            F.round(F.abs(at(4)), 6).alias("confidence"), x.alias("x0"), y.alias("y0"),
+            (x + 30 + F.round(F.abs(at(2)) * 100, 3)).alias("x1"), (y + 20 + F.round(F.abs(at(3)) * 100, 3)).alias("y1"),
+        )
 
+    return t.embeddings.select(F.col("label").alias("page_id"), F.inline(F.transform(F.sequence(F.lit(0), F.lit(11)), box)))
 
-@query("overlap_suppression")
+
+@query(
+    "overlap_suppression",
+    f"""
+    WITH RECURSIVE {BOXES_SQL},
+    r AS (
+      SELECT page_id, n, [o] AS kept, box_id, c, true AS ok FROM o WHERE n = 1
+      UNION ALL
+      SELECT page_id, n, CASE WHEN ok THEN list_append(kept, me) ELSE kept END, box_id, c, ok FROM (
+        SELECT o.page_id, o.n, o.box_id, o.c, r.kept, o AS me, len(list_filter(r.kept, lambda k:
+          greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0)) / ((o.x1 - o.x0) * (o.y1 - o.y0)) > 0.5
+          OR k.text = o.text AND greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0))
+            / ((k.x1 - k.x0) * (k.y1 - k.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0))) > 0.3)) = 0 AS ok
+        FROM r JOIN o ON o.page_id = r.page_id AND o.n = r.n + 1)
+    )
+    SELECT page_id, box_id, c AS confidence FROM r WHERE ok
+    """,
+)
 def overlap_suppression(t: Tables) -> DataFrame:
-    """JOIN-5: boxes from the first components, de-duplicated per label; checked by brute force in
-    the tests, since a greedy order has no plain SQL form."""
+    """JOIN-5: boxes from all components, de-duplicated per label."""
     return op.suppress_overlaps(embedded_boxes(t), ["page_id"]).select("page_id", "box_id", "confidence")
 
 
@@ -188,10 +216,20 @@ def nearest_pair(t: Tables) -> DataFrame:
     return op.nearest_value(s, c, ["nation"], "bal", "s_suppkey", "c_custkey")
 
 
-@query("one_to_one")
+@query(
+    "one_to_one",
+    """
+    WITH RECURSIVE p AS (SELECT s_nationkey AS nation, s_suppkey AS a, c_custkey AS b, abs(s_acctbal - c_acctbal) AS score
+      FROM supplier JOIN customer ON c_nationkey = s_nationkey AND abs(s_acctbal - c_acctbal) <= 50),
+    o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY score, a, b) AS n FROM p),
+    r AS (SELECT nation, n, [a] AS la, [b] AS lb, a, b, score, true AS ok FROM o WHERE n = 1
+      UNION ALL SELECT nation, n, CASE WHEN ok THEN list_append(la, a) ELSE la END, CASE WHEN ok THEN list_append(lb, b) ELSE lb END, a, b, score, ok FROM (
+        SELECT o.*, r.la, r.lb, NOT list_contains(r.la, o.a) AND NOT list_contains(r.lb, o.b) AS ok FROM r JOIN o ON o.nation = r.nation AND o.n = r.n + 1))
+    SELECT nation, a AS s_suppkey, b AS c_custkey, round(score, 4) AS score FROM r WHERE ok
+    """,
+)
 def one_to_one(t: Tables) -> DataFrame:
-    """JOIN-7: suppliers and customers of a nation matched greedily by balance; invariants and a
-    sequential run are in the tests."""
+    """JOIN-7: suppliers and customers of a nation matched greedily by balance."""
     s = t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal"), "s_suppkey")
     c = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"), "c_custkey")
     out = op.match_values(s, c, ["nation"], "bal", "s_suppkey", "c_custkey", tol=50.0)
@@ -227,25 +265,27 @@ def tolerance_share(t: Tables) -> DataFrame:
 @query(
     "point_in_polygon",
     """
-    WITH q AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+    WITH q AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, range(32) p(i)),
     v AS (SELECT r_regionkey AS region, CAST(0.08 AS DOUBLE) * r_regionkey - 0.2 AS cx FROM region),
     e AS (SELECT region, cx - 0.11 AS ax, CAST(0 AS DOUBLE) AS ay, cx AS bx, CAST(-0.2 AS DOUBLE) AS by_ FROM v
       UNION ALL SELECT region, cx, -0.2, cx + 0.11, 0 FROM v UNION ALL SELECT region, cx + 0.11, 0, cx, 0.2 FROM v
       UNION ALL SELECT region, cx, 0.2, cx - 0.11, 0 FROM v)
-    SELECT vec_id, region FROM q JOIN e ON (by_ > y) <> (ay > y) AND x < (ax - bx) * (y - by_) / (ay - by_) + bx
+    SELECT vec_id, i AS point, region FROM q JOIN e ON (by_ > y) <> (ay > y) AND x < (ax - bx) * (y - by_) / (ay - by_) + bx
     GROUP BY ALL HAVING count(*) % 2 = 1
     """,
 )
 def point_in_polygon(t: Tables) -> DataFrame:
-    """JOIN-9: two components of each vector as a point, one diamond per region."""
-    q = t.embeddings.select(
-        "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
-    )
+    """JOIN-9: all components of each vector as points, one diamond per region."""
+    e = F.col("embedding")
+    points = F.transform(F.sequence(F.lit(0), (F.size(e) / 2).cast("int") - 1), lambda i: F.struct(
+        i.cast("bigint").alias("point"), F.get(e, i * 2).cast("double").alias("x"), F.get(e, i * 2 + 1).cast("double").alias("y")
+    ))
+    q = t.embeddings.select("vec_id", F.inline(points))
     cx = F.lit(0.08) * F.col("r_regionkey") - 0.2
     corner = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
     ring = F.array(corner(cx - 0.11, 0.0), corner(cx, -0.2), corner(cx + 0.11, 0.0), corner(cx, 0.2))
     polys = t.region.select(F.col("r_regionkey").alias("region"), ring.alias("ring"))
-    return op.points_in_polygons(q, polys, cell=0.1).select("vec_id", "region")
+    return op.points_in_polygons(q, polys, cell=0.1).select("vec_id", "point", "region")
 
 
 @query(

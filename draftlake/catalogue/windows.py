@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.numeric import n_rows
@@ -192,17 +192,40 @@ def neighbour_overlap(t: Tables) -> DataFrame:
     return op.overlapping_neighbours(event_spans(t), ["user_id"], "s0", "s1", "span_id", 60.0, block=F.floor(F.col("s0") / 86400))
 
 
-@query("diverse_top_k")
-def diverse_top_k(t: Tables) -> DataFrame:
-    """WIN-9: five vectors per label by a visibility score, none close to a better one; a sequential
-    run is compared in the tests."""
-    e = lambda i: F.col("embedding")[i].cast("double")
-    score = F.round(op.camera_score(F.abs(e(3)) * 4, F.abs(e(4)) * 20), 6)
-    cands = t.embeddings.select(
-        "label", F.col("vec_id").alias("cam_id"), F.round(e(0) * 10, 4).alias("x"), F.round(e(1) * 10, 4).alias("y"),
-        F.round(F.pmod(e(2) * 1000, F.lit(360.0)), 3).alias("yaw_deg"), score.alias("score"),
+@query(
+    "diverse_top_k",
+    """
+    WITH RECURSIVE c AS (SELECT label, vec_id * 12 + i AS cam_id, round(CAST(embedding[5 * i + 1] AS DOUBLE) * 10, 4) AS x, round(CAST(embedding[5 * i + 2] AS DOUBLE) * 10, 4) AS y,
+        round(CAST(embedding[5 * i + 3] AS DOUBLE) * 1000 - floor(CAST(embedding[5 * i + 3] AS DOUBLE) * 1000 / 360) * 360, 3) AS yaw_deg,
+        round(0.8 * (abs(CAST(embedding[5 * i + 4] AS DOUBLE)) * 4) + 0.2 * least(1.0, abs(CAST(embedding[5 * i + 5] AS DOUBLE)) * 20 / 6.0), 6) AS score
+      FROM embeddings, range(12) r(i)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, x, y, yaw_deg, cam_id) AS n FROM c),
+    r AS (
+      SELECT label, n, [o] AS kept, o AS me, true AS ok FROM o WHERE n = 1
+      UNION ALL
+      SELECT label, n, CASE WHEN ok THEN list_append(kept, me) ELSE kept END, me, ok FROM (
+        SELECT o.label, o.n, r.kept, o AS me, len(list_filter(r.kept, lambda k: sqrt((k.x - o.x) ** 2 + (k.y - o.y) ** 2) < 1.0
+          AND abs((o.yaw_deg - k.yaw_deg + 180) - floor((o.yaw_deg - k.yaw_deg + 180) / 360) * 360 - 180) < 30)) = 0 AS ok
+        FROM r JOIN o ON o.label = r.label AND o.n = r.n + 1 WHERE len(r.kept) < 5)
     )
-    return op.propose_views(cands, ["label"], 5)
+    SELECT label, me.cam_id AS cam_id, me.x AS x, me.y AS y, me.yaw_deg AS yaw_deg, me.score AS score, len(kept) AS choice FROM r WHERE ok
+    """,
+)
+def diverse_top_k(t: Tables) -> DataFrame:
+    """WIN-9: five of twelve views per vector and label by a visibility score, none close to a better
+    one."""
+    e = F.col("embedding")
+
+    def view(i: Column) -> Column:
+        at = lambda k: F.get(e, i * 5 + k).cast("double")
+        score = F.round(op.camera_score(F.abs(at(3)) * 4, F.abs(at(4)) * 20), 6)
+        return F.struct(
+            (F.col("vec_id") * 12 + i).alias("cam_id"), F.round(at(0) * 10, 4).alias("x"), F.round(at(1) * 10, 4).alias("y"),
+            F.round(F.pmod(at(2) * 1000, F.lit(360.0)), 3).alias("yaw_deg"), score.alias("score"),
+        )
+
+    cands = t.embeddings.select("label", F.inline(F.transform(F.sequence(F.lit(0), F.lit(11)), view)))
+    return op.propose_views(cands, ["label"], 5).withColumn("choice", F.col("choice").cast("bigint"))
 
 
 @query(
