@@ -1,5 +1,6 @@
 """Licence scan by an exact set-similarity join: blocks of a text that hold enough of the words of a
-template, found with prefix, length and positional filters over globally ordered words."""
+template, found with prefix, length and positional filters over globally ordered words. A block is a
+window of words about as long as the template, wherever the text breaks its lines."""
 
 from __future__ import annotations
 
@@ -45,12 +46,18 @@ TEMPLATES = (
 )
 
 THRESHOLD = 0.8
+#: Places of a chunk at which windows start; a chunk goes on until the last of them is whole.
+CHUNK = 256
+#: The only letter beyond ASCII (Kelvin sign) whose lower case is an ASCII letter; it stays as it is.
+KELVIN = "\u212a"
 
 
 def spaced(text: Column) -> Column:
     """The words of the text in lower case with one space before each and one at the end. Letters
-    beyond ASCII are word characters in either case, so only A-Z matter to phrases and templates."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(text), SEPARATORS, " ")), F.lit(" "))
+    beyond ASCII are word characters in either case and no letter of a phrase or template, so it does
+    not matter that their case changes too; the one that would become a "k" is put aside first."""
+    plain = F.lower(F.replace(text, F.lit(KELVIN), F.lit("\u00e5")))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, SEPARATORS, " ")), F.lit(" "))
 
 
 def word_count(words: Column) -> Column:
@@ -85,6 +92,11 @@ def template_words(text: str) -> set[str]:
     return {w for w in re.split(SEPARATORS, text.lower()) if w}
 
 
+def window_words(text: str, threshold: float = THRESHOLD) -> int:
+    """Words of a block: those of the template, repeats included, and as many more as it may lack."""
+    return math.ceil(sum(1 for w in re.split(SEPARATORS, text) if w) / threshold - 1e-9)
+
+
 def word_frequency(docs: DataFrame, text: str, templates=TEMPLATES) -> dict[str, int]:
     """Number of documents with each word of the templates, over the whole corpus. The driver gets
     one row per word of the templates."""
@@ -94,44 +106,72 @@ def word_frequency(docs: DataFrame, text: str, templates=TEMPLATES) -> dict[str,
 
 
 def prefix_index(frequency: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple]:
-    """(word, template, label, words, place, size, need) for the prefix of each template: in the
-    global order (rarest first, ties by the word) a block with ``need`` of the ``size`` words holds
-    one of the first size - need + 1."""
+    """(word, template, label, words, place, size, need, window) for the prefix of each template: in
+    the global order (rarest first, ties by the word) a block with ``need`` of the ``size`` words
+    holds one of the first size - need + 1."""
     out = []
     for i, (label, text) in enumerate(templates):
         words = sorted(template_words(text), key=lambda w: (frequency[w], w))
         need = math.ceil(len(words) * threshold - 1e-9)
-        out += [(w, i, label, words, k, len(words), need) for k, w in enumerate(words[:len(words) - need + 1])]
+        window = window_words(text, threshold)
+        out += [(w, i, label, words, k, len(words), need, window) for k, w in enumerate(words[:len(words) - need + 1])]
     return out
 
 
+def chunks(words: Column, longest: int) -> Column:
+    """The words cut into chunks of ``CHUNK`` places, each with the words that windows starting there
+    still reach. A chunk holds at most CHUNK + longest words, whatever the text."""
+    return let(words, lambda w: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(w) - 1) / CHUNK).cast("int")),
+        lambda c: F.slice(w, c * CHUNK + 1, F.lit(CHUNK + longest - 1)),
+    ))
+
+
+def best_window(part: Column, words: Column, window: Column) -> Column:
+    """Struct (shared, back) of the window of a chunk with most distinct ``words``; ``back`` is minus
+    its place, so the first of equal windows wins. A window that starts between words of the template
+    holds no more than the one that starts at the next of them."""
+    places = F.sequence(F.lit(0), F.least(F.size(part), F.lit(CHUNK)) - 1)
+    starts = F.filter(places, lambda i: F.array_contains(words, F.get(part, i)))
+    return F.array_max(F.transform(starts, lambda i: F.struct(
+        F.size(F.array_intersect(words, F.slice(part, i + 1, window))).alias("shared"), (-i).alias("back"),
+    )))
+
+
 def block_matches(
     docs: DataFrame, key: list[str], text: str = "text", *, templates=TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(key, block, label, shared, score) of every line that holds at least ``threshold`` of the
-    distinct words of a template; ``block`` numbers the lines of the text from 0.
+    """(key, block, label, shared, score) of every template of which a block of the text holds at least
+    ``threshold`` of the distinct words; per chunk of the text the best block, ``block`` is the place of
+    its first word, from 0.
 
-    Lines with a prefix word become rows and meet the prefix index on that word; the index has a few
-    rows per template, whatever the corpus. Length filter: the line has ``need`` words of templates.
+    Chunks with a prefix word meet the prefix index on that word; the index has a few rows per
+    template, whatever the corpus. Length filter: the chunk has ``need`` words of templates.
     Positional filter: from the shared word on, both sides still have ``need`` words. Only the
-    rarest shared word makes the pair, so each pair is verified once."""
+    rarest shared word makes the pair, so each pair is verified once, window by window."""
     spark = docs.sparkSession
     frequency = word_frequency(docs, text, templates)
     rows = prefix_index(frequency, templates, threshold)
-    index = spark.createDataFrame(rows, "word string, template int, label string, t_words array<string>, t_place int, size int, need int")
+    index = spark.createDataFrame(
+        rows, "word string, template int, label string, t_words array<string>, t_place int, size int, need int, window int")
     order = F.lit(sorted(frequency, key=lambda w: (frequency[w], w)))
     first = F.lit(sorted({r[0] for r in rows}))
-    words = F.split(spaced(whole(text)), " ")
-    lines = docs.where(F.arrays_overlap(words, first)).select(*key, F.posexplode(F.split(whole(text), "\n")).alias("block", "line"))
-    held = lines.select(*key, "block", F.array_intersect(order, F.split(spaced(F.col("line")), " ")).alias("b_words"))
-    each = held.select(*key, "block", "b_words", F.posexplode("b_words").alias("b_place", "word"))
+    words = F.split(F.btrim(spaced(whole(text))), " ")
+    cut = docs.where(F.arrays_overlap(words, first)).select(
+        *key, F.posexplode(chunks(words, max(r[7] for r in rows))).alias("chunk", "part"))
+    held = cut.select(*key, "chunk", "part", F.array_intersect(order, "part").alias("b_words"))
+    each = held.select(*key, "chunk", "part", "b_words", F.posexplode("b_words").alias("b_place", "word"))
     left = F.least(F.col("size") - F.col("t_place"), F.size("b_words") - F.col("b_place"))
     common = F.array_intersect("t_words", "b_words")
     pairs = each.join(index, "word").where((F.size("b_words") >= F.col("need")) & (left >= F.col("need")))
+    alike = pairs.where((F.element_at(common, 1) == F.col("word")) & (F.size(common) >= F.col("need")))
     return (
-        pairs.withColumn("common", common)
-        .where((F.element_at("common", 1) == F.col("word")) & (F.size("common") >= F.col("need")))
-        .select(*key, "block", "label", F.size("common").alias("shared"), (F.size("common") / F.col("size")).alias("score"))
+        alike.withColumn("best", best_window(F.col("part"), F.col("t_words"), F.col("window")))
+        .where(F.col("best.shared") >= F.col("need"))
+        .select(
+            *key, (F.col("chunk") * CHUNK - F.col("best.back")).alias("block"), "label", F.col("best.shared").alias("shared"),
+            (F.col("best.shared") / F.col("size")).alias("score"),
+        )
     )
 
 
@@ -139,7 +179,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, templat
     """Every row of ``docs`` with a struct ``licence`` (n_words, n_base, first_word, last_word,
     base_labels, labels, score).
 
-    ``score`` is the best containment of a line, 1 where a base phrase stands, else 0. Null or empty
+    ``score`` is the best containment of a block, 1 where a base phrase stands, else 0. Line feeds do
+    not matter: a notice wrapped over lines is met as a whole, and words strewn over a long line are not. Null or empty
     text has no word and no label; null ids are allowed; repeated rows get equal results (matches are
     combined by id and text); an empty table gives an empty table; extra columns pass through."""
     key = row_keys(doc_id, text)

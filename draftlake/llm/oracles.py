@@ -65,28 +65,32 @@ FROM r GROUP BY conv_id
 
 
 def _licences() -> str:
-    from draftlake.llm.licences import PHRASES, TEMPLATES, THRESHOLD, template_words
+    from draftlake.llm.licences import PHRASES, TEMPLATES, THRESHOLD, template_words, window_words
 
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"({quote(p)}, {quote(label)})" for p, label in PHRASES.items())
     templates = ", ".join(
-        f"({i}, {quote(label)}, [{', '.join(map(quote, sorted(template_words(t))))}])" for i, (label, t) in enumerate(TEMPLATES)
+        f"({i}, {quote(label)}, [{', '.join(map(quote, sorted(template_words(t))))}], {window_words(t)})"
+        for i, (label, t) in enumerate(TEMPLATES)
     )
     return rf"""
-WITH p(phrase, label) AS (VALUES {phrases}), t(i, label, words) AS (VALUES {templates}), d AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents
+WITH p(phrase, label) AS (VALUES {phrases}), t(i, label, words, size) AS (VALUES {templates}), d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
 ), w AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '{sep}'), lambda x: x <> '') AS ws FROM d
+  SELECT doc_id, list_filter(string_split_regex(text, '{sep}'), lambda x: x <> '') AS ws FROM d
 ), places AS (
   SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) s
   JOIN p ON list_slice(ws, i, i + len(string_split(phrase, ' ')) - 1) = string_split(phrase, ' ')
 ), base AS (
   SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS ls FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, list_distinct(string_split_regex(lower(l), '{sep}')) AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)
+), near AS (
+  SELECT doc_id, ws, label, words, size FROM w CROSS JOIN t WHERE len(list_intersect(ws, words)) >= ceil(len(words) * {THRESHOLD} - 1e-9)
+), windows AS (
+  SELECT doc_id, label, words, list_slice(ws, i, i + size - 1) AS ws FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM near)
+  WHERE list_contains(words, ws[i])
 ), hits AS (
-  SELECT doc_id, list(DISTINCT label) AS ls, max(len(list_intersect(ws, words)) / len(words)) AS s FROM lines CROSS JOIN t
+  SELECT doc_id, list(DISTINCT label) AS ls, max(len(list_intersect(ws, words)) / len(words)) AS s FROM windows
   WHERE len(list_intersect(ws, words)) >= ceil(len(words) * {THRESHOLD} - 1e-9) GROUP BY doc_id
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,

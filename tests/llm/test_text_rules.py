@@ -1,10 +1,13 @@
 import re
+import string
+import textwrap
 
 from pyspark.sql import functions as F
 
 from draftlake.llm import chat, licences, quality_rules
 from tests.llm import frames
 
+A_Z = string.ascii_uppercase
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -45,18 +48,21 @@ def test_licences_against_brute_force(spark):
     texts = [
         (20, "Released under the MIT License. cc by cc-by CC BY"), (21, "the GNU General\nPublic License"), (22, "gnu general public licenses"),
         (23, "permission is hereby granted free of charge to any person obtaining a copy of this software\nand"), (24, "MIT license MIT license apache-license"),
+        (25, frames.prose(3, 250) + " " + licences.TEMPLATES[2][1]), (26, "\u212a wor\u212a CC BY \u0130"),
+        (27, (frames.prose(5, 700) + "\n\n" + licences.TEMPLATES[11][1] + " ") * 3), (28, "mit " * 600 + licences.TEMPLATES[4][1]),
     ]
     df = frames.awkward(spark).unionByName(frames.frame(spark, texts))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = licences.scan(df)
     for r in got.collect():
-        w = word.findall((r.text or "").lower())
+        w = word.findall((r.text or "").translate(str.maketrans(A_Z, A_Z.lower())))
         places = sorted((i, label) for p, label in licences.PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split())
         labels, score = {x for _, x in places}, 1.0 if places else 0.0
-        for line in (r.text or "").split("\n"):
-            have = set(word.findall(line.lower()))
-            for label, t in licences.TEMPLATES:
-                words = licences.template_words(t)
+        for label, t in licences.TEMPLATES:
+            words = licences.template_words(t)
+            n = -(-5 * len(t.replace("-", " ").split()) // 4)  # over 0.8, rounded up
+            for i in range(len(w)) if words & set(w) else ():
+                have = set(w[i:i + n])
                 if len(words & have) >= licences.THRESHOLD * len(words) - 1e-9:
                     labels.add(label)
                     score = max(score, len(words & have) / len(words))
@@ -64,7 +70,19 @@ def test_licences_against_brute_force(spark):
         assert (c.n_words, c.n_base) == (len(w), len(places)), r.doc_id
         assert (c.first_word, c.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert c.base_labels == ",".join(sorted({x for _, x in places})) and c.labels == ",".join(sorted(labels)) and c.score == score
-    assert got.count() == 17 and licences.scan(frames.empty(spark)).count() == 0
+    assert got.count() == 21 and licences.scan(frames.empty(spark)).count() == 0
+
+
+def test_wrapped_notices_are_met_and_strewn_words_are_not(spark):
+    notices = {"mit": licences.TEMPLATES[4][1], "apache": licences.TEMPLATES[2][1], "bsd": licences.TEMPLATES[11][1]}
+    wrapped = {k: "\n".join(f"// {x}" for x in textwrap.wrap(t, 66, initial_indent=" " * 30)) for k, t in notices.items()}
+    around = lambda i, t: f"{frames.prose(i, 240)}\n{t}\n{frames.prose(i + 1, 40)}"
+    texts = [(i, around(i, t)) for i, t in enumerate(wrapped.values())]
+    strewn = [(10 + i, " ".join(f"{w} {frames.prose(j, 9)}" for j, w in enumerate(t.split()))) for i, t in enumerate(notices.values())]
+    got = {r.doc_id: r.licence for r in licences.scan(frames.frame(spark, texts + strewn)).collect()}
+    assert all("\n" in t for t in wrapped.values())
+    assert [got[i].labels for i in range(3)] == list(notices) and all(got[i].score == 1 for i in range(3))
+    assert all(got[10 + i].labels == "" and got[10 + i].score == 0 for i in range(3))
 
 
 def test_layouts_become_turns(spark):
