@@ -18,7 +18,7 @@ WITH d AS (
   SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host
 ), freq AS (
   SELECT l.host, l.l FROM (SELECT host, l, count(DISTINCT t) AS n FROM lines GROUP BY host, l) l JOIN docs ON docs.host = l.host
-  WHERE l.n >= 10 AND l.n > docs.n * 0.1
+  WHERE (l.n >= 10 AND l.n > docs.n * 0.1) OR l.n > 10000
 ), gone AS (
   SELECT doc_id, count(f.l) AS k, coalesce(sum(c) FILTER (f.l IS NOT NULL), 0) AS gc, sum(c) AS ac
   FROM lines LEFT JOIN freq f ON f.host = lines.host AND f.l = lines.l GROUP BY doc_id

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from draftlake.functions.text import let
 from draftlake.llm.common import LONGS, WS, WS_CHARS, whole, words_of
+from draftlake.session import cut_lineage
 
 WINDOW = 8
+#: Lines (8 bytes each, and their host) up to which a table of lines is broadcast.
+BROADCAST_LINES = 1_000_000
+SALTS = 32
 
 
 def repeated_words(words: Column) -> Column:
@@ -65,32 +69,45 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.btrim(line, F.lit(WS_CHARS)), WS, " ")))
 
 
-def frequent_lines(lines: DataFrame, *, max_share: float, min_docs: int) -> DataFrame:
-    """Per host the hashed lines that more than ``max_share`` of its distinct documents hold, and at
-    least ``min_docs`` of them: (host, frequent).
+def frequent_lines(distinct: DataFrame, *, max_share: float, max_docs: int, min_docs: int) -> DataFrame:
+    """(host, key) of the hashed lines above a limit of their host: held by more than ``max_docs`` of
+    its distinct documents, or by more than ``max_share`` of them and at least ``min_docs``.
 
-    ``lines`` has (host, content, keys): documents of equal content count once, so that copies do
-    not make their own lines boilerplate. A line of every document is summed before the shuffle. As
-    each frequent line takes a share of the host's lines, a host has at most (mean distinct lines
-    per document) / ``max_share`` of them, whatever its size."""
-    distinct = lines.groupBy("host", "content").agg(F.any_value("keys").alias("keys"))
+    ``distinct`` has one row (host, doc, keys) per host and content: copies count once, so that they
+    do not make their own lines boilerplate. Counts are summed before the shuffle."""
     docs = distinct.groupBy("host").agg(F.count("*").alias("docs"))
-    counts = (
-        distinct.select("host", F.explode("keys").alias("key"))
-        .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    )
-    return (
-        counts.join(docs, "host").where(F.col("n") > F.col("docs") * max_share)
-        .groupBy("host").agg(F.collect_set("key").alias("frequent"))
-    )
+    counts = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    over = (F.col("n") > max_docs) | ((F.col("n") > F.col("docs") * max_share) & (F.col("n") >= min_docs))
+    return counts.where(F.col("n") >= min(min_docs, max_docs + 1)).join(docs, "host").where(over).select("host", "key")
+
+
+def held_lines(distinct: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc, frequent): the frequent lines of each distinct document that has any. Lines are rows, so
+    neither side holds a list per host. Both the frequent lines and the result are broadcast up to a
+    checked number of lines; beyond it the lines are joined by (host, line, salt) and a line of many
+    documents is many tasks."""
+    kept = cut_lineage(frequent)
+    many = kept.count() > BROADCAST_LINES
+    lines = distinct.select("host", "doc", F.explode("keys").alias("key"))
+    if many:
+        lines = lines.withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)))
+        salted = kept.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        found = lines.join(salted, ["host", "key", "salt"])
+    else:
+        found = lines.join(F.broadcast(kept), ["host", "key"])
+    found = cut_lineage(found.groupBy("doc").agg(F.collect_set("key").alias("frequent")))
+    total = found.agg(F.sum(F.size("frequent") + 2)).first()[0] or 0
+    return F.broadcast(found) if total <= BROADCAST_LINES else found
 
 
 def line_frequency(
-    docs: DataFrame, text: str = "text", host: str = "source", *, max_share: float = 0.1, min_docs: int = 10,
-    min_left: float = 0.2,
+    docs: DataFrame, text: str = "text", host: str = "source", *, max_share: float = 0.1, max_docs: int = 10_000,
+    min_docs: int = 10, min_left: float = 0.2,
 ) -> DataFrame:
     """Every row of ``docs`` with a struct ``rules`` of the counts and the verdict, and ``clean_text``
-    without the frequent lines.
+    without the frequent lines: those that over ``max_share`` of the distinct documents of their host
+    hold (at least ``min_docs``), or over ``max_docs`` of them, whatever the size of the host. Texts
+    are not shuffled while the documents with frequent lines are few enough to be broadcast.
 
     A document is rejected if the base rules fail (under 20 words, or over 30 % of its words in
     repeated windows), or if under ``min_left`` of the characters of its lines stay (depleted).
@@ -106,14 +123,12 @@ def line_frequency(
         "__counts": F.struct(*[c.alias(n) for n, c in text_counts(F.col("__text"), F.col("__words"), F.col("__lines")).items()]),
         "__keys": F.transform("__lines", lambda x: F.struct(line_key(x).alias("key"), F.length(F.btrim(x, F.lit(WS_CHARS))).alias("chars"))),
     })
-    lines = split.select(
-        F.col("__host").alias("host"), F.xxhash64("__text").alias("content"),
-        F.array_distinct(F.transform("__lines", line_key)).alias("keys"),
-    )
-    hot = frequent_lines(lines, max_share=max_share, min_docs=min_docs)
-    seen = keyed.join(hot, keyed["__host"] == hot["host"], "left").withColumn(
-        "__found", F.array_intersect(F.transform("__keys", lambda k: k["key"]), F.coalesce("frequent", F.array().cast(LONGS)))
-    )
+    doc = F.xxhash64("__host", "__text")
+    lines = split.select(F.col("__host").alias("host"), doc.alias("doc"), F.array_distinct(F.transform("__lines", line_key)).alias("keys"))
+    distinct = cut_lineage(lines.groupBy("host", "doc").agg(F.any_value("keys").alias("keys")))
+    hot = held_lines(distinct, frequent_lines(distinct, max_share=max_share, max_docs=max_docs, min_docs=min_docs))
+    hot = hot.select(F.col("doc").alias("__doc"), F.col("frequent").alias("__frequent"))
+    seen = keyed.withColumn("__doc", doc).join(hot, "__doc", "left").withColumn("__found", F.coalesce("__frequent", F.array().cast(LONGS)))
     total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda s, k: s + k["chars"])
     gone = F.filter("__keys", lambda k: F.array_contains("__found", k["key"]))
     judged = seen.withColumns({

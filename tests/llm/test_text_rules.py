@@ -44,6 +44,20 @@ def test_frequent_lines_leave_and_depleted_documents_fail(spark):
     assert got[300].rules.n_removed_lines == 0 and got[300].clean_text == frames.CLEAN and got[300].rules.kept
 
 
+def test_absolute_limit_holds_on_large_hosts(spark, monkeypatch):
+    foot, rare = "All prices are given without tax", "Open on Mondays from nine to five"
+    texts = [(3 * i, f"{frames.prose(i, 30)}\n{foot if i < 7 else frames.prose(90 + i, 5)}\n{rare if i < 6 else ''}") for i in range(80)]
+    judge = lambda: {
+        r.doc_id: (r.rules.n_removed_lines, r.clean_text)
+        for r in quality_rules.line_frequency(frames.frame(spark, texts), max_docs=6).collect()
+    }
+    got = judge()
+    assert [i for i in got if got[i][0]] == [3 * i for i in range(7)] and all(n <= 1 for n, _ in got.values())
+    assert foot not in got[0][1] and rare in got[0][1]  # seven documents of eighty are no tenth; six are not over the limit
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)  # the salted join gives the same
+    assert judge() == got
+
+
 def test_licences_against_brute_force(spark):
     texts = [
         (20, "Released under the MIT License. cc by cc-by CC BY"), (21, "the GNU General\nPublic License"), (22, "gnu general public licenses"),
