@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "files", "integrity", "text", "joins", "aggregates", "windows", "plan_tables", "scoring",
-    "events", "quality",
+    "events", "quality", "annotations",
 )
 
 

@@ -159,6 +159,19 @@ def package_audit(t: Tables) -> DataFrame:
     return lic.spdx_audit(packages, verified).groupBy("env", "spdx", "problem").agg(n_rows().alias("n"))
 
 
+def part_models(t: Tables) -> DataFrame:
+    """Parts as models with licence, terms, territories and caps."""
+    s = F.col("p_size")
+    at = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), s % 5 + 1)
+    return t.part.select(
+        F.col("p_partkey").alias("name"),
+        at("apache-2.0", "cc-by-nc-4.0", "sam-license", "own-1", "mit").alias("license_id"), at("permissive", "blocked", "conditional", "proprietary", "permissive").alias("license_class"),
+        (s % 7 != 0).alias("commercial_ok"), F.when(s % 2 == 0, "terms-a").alias("terms_id"),
+        F.when(s % 3 == 0, F.array(F.lit("eu"))).otherwise(F.array(F.lit("KR"))).alias("territorial_exclusions"),
+        F.when(s % 11 == 0, F.create_map(F.lit("mau"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")).alias("caps"), (s == 50).alias("mock"),
+    )
+
+
 @query(
     "blocked_models",
     """
@@ -172,13 +185,5 @@ def package_audit(t: Tables) -> DataFrame:
 )
 def blocked_models(t: Tables) -> DataFrame:
     """LIC-2: parts as models under a policy for Germany."""
-    s = F.col("p_size")
-    at = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), s % 5 + 1)
-    models = t.part.select(
-        at("apache-2.0", "cc-by-nc-4.0", "sam-license", "own-1", "mit").alias("license_id"), at("permissive", "blocked", "conditional", "proprietary", "permissive").alias("license_class"),
-        (s % 7 != 0).alias("commercial_ok"), F.when(s % 2 == 0, "terms-a").alias("terms_id"),
-        F.when(s % 3 == 0, F.array(F.lit("eu"))).otherwise(F.array(F.lit("KR"))).alias("territorial_exclusions"),
-        F.when(s % 11 == 0, F.create_map(F.lit("mau"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")).alias("caps"), (s == 50).alias("mock"),
-    )
-    judged = lic.blocked_reasons(models, ["DE"], accepted_terms=["terms-a"])
+    judged = lic.blocked_reasons(part_models(t), ["DE"], accepted_terms=["terms-a"])
     return judged.groupBy("license_id", F.array_join("reasons", ",").alias("reasons")).agg(n_rows().alias("n"))
