@@ -146,7 +146,7 @@ def block_matches(
     its first word, from 0.
 
     Chunks with a prefix word meet the prefix index on that word; the index has a few rows per
-    template, whatever the corpus. Length filter: the chunk has ``need`` words of templates.
+    template, whatever the corpus, so it is broadcast. Length filter: the chunk has ``need`` words of templates.
     Positional filter: from the shared word on, both sides still have ``need`` words. Only the
     rarest shared word makes the pair, so each pair is verified once, window by window."""
     spark = docs.sparkSession
@@ -163,7 +163,7 @@ def block_matches(
     each = held.select(*key, "chunk", "part", "b_words", F.posexplode("b_words").alias("b_place", "word"))
     left = F.least(F.col("size") - F.col("t_place"), F.size("b_words") - F.col("b_place"))
     common = F.array_intersect("t_words", "b_words")
-    pairs = each.join(index, "word").where((F.size("b_words") >= F.col("need")) & (left >= F.col("need")))
+    pairs = each.join(F.broadcast(index), "word").where((F.size("b_words") >= F.col("need")) & (left >= F.col("need")))
     alike = pairs.where((F.element_at(common, 1) == F.col("word")) & (F.size(common) >= F.col("need")))
     return (
         alike.withColumn("best", best_window(F.col("part"), F.col("t_words"), F.col("window")))
